@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from factmill.llm.pieces import op1_sentencepiece
+from factmill.llm.pii import op2_pii
+from factmill.llm.secret_scan import op10_secrets
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_pii": op2_pii,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
