@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from factmill.llm.near import op9_near_duplicates
 from factmill.llm.pieces import op1_sentencepiece
 from factmill.llm.pii import op2_pii
 from factmill.llm.secret_scan import op10_secrets
@@ -9,6 +10,7 @@ from factmill.llm.secret_scan import op10_secrets
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_secrets": op10_secrets,
 }
 
