@@ -9,6 +9,7 @@ from factmill.llm.pieces import op1_sentencepiece
 from factmill.llm.pii import op2_pii
 from factmill.llm.secret_scan import op10_secrets
 from factmill.llm.topk import OP3_SQL, op3_topk
+from factmill.llm.toxicity import op4_toxicity
 from factmill.llm.url_filter import OP6_SQL, op6_url_filter
 from factmill.llm.warc import OP8_SQL, op8_warc
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
     "op3_topk": op3_topk,
+    "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_url_filter": op6_url_filter,
     "op7_decontamination": op7_decontamination,
