@@ -84,6 +84,35 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def append_columns(
+    df: DataFrame,
+    keep: Iterable[str],
+    text_col: str,
+    added: str,
+    prepare: Callable[[], Callable[[list[str | None]], list[pa.Array]]],
+) -> DataFrame:
+    """The columns in keep and those that a function of a batch's texts makes (added: their schema). Columns travel under
+    internal names, so clashing names do no harm, and the text travels once, kept or not."""
+    kinds = dict(df.dtypes)
+    own = {f"c{i}": c for i, c in enumerate(dict.fromkeys(keep))}
+    text = next((k for k, c in own.items() if c == text_col), "t")
+    schema = ", ".join([*(f"{k} {kinds[c]}" for k, c in own.items()), added])
+    new = [x.split()[0] for x in re.sub(r"<.*?>+", "", added).split(", ")]
+
+    def begin():
+        work = prepare()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = work(batch.column(text).to_pylist())
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in own), *made], [*own, *new])
+
+        return step
+
+    rows = keyed(df, **own, **({} if text in own else {"t": text_col}))
+    out = map_batches(rows, schema, begin)
+    return out.select(*[F.col(k).alias(c) for k, c in own.items()], *new)
+
+
 def keyed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under internal names; extra and clashing columns of df do no harm."""
     return df.select(*[df[c].alias(k) for k, c in columns.items()])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.llm.common import keyed, map_batches, read, texts_of
+from factmill.llm.common import append_columns, keyed, read
 
 WINDOW = 13
 #: Windows in one pass, and so in one broadcast: about 13 * 8 bytes of words and 8 of table each.
@@ -180,66 +180,49 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     spark = df.sparkSession
     tables = [spark.sparkContext.broadcast(w) for w in passes(benchmark, item_id, item_text, size, most_windows)]
     tables = tables or [spark.sparkContext.broadcast({})]
-    kinds = dict(df.dtypes)
-    own = {f"c{i}": c for i, c in enumerate(dict.fromkeys([id_col, *keep]))}
-    schema = ", ".join(f"{k} {kinds[c]}" for k, c in own.items())
+    columns = list(dict.fromkeys([id_col, *keep]))
 
     def one(table) -> DataFrame:
         def prepare():
             patterns = Patterns(table.value)
 
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                rows = patterns.search(texts_of(batch, "t"))
-                names = [x for x in batch.schema.names if x != "t"]
-                return pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(x) for x in names),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.list_(pa.int32())),
-                        pa.array([r[2] for r in rows], pa.list_(pa.int32())),
-                        pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-                    ],
-                    [*names, "n_words", "starts", "ends", "items"],
-                )
+            def work(texts):
+                rows = patterns.search(texts)
+                kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
 
-            return step
+            return work
 
-        return map_batches(keyed(df, **own, t=text_col), f"{schema}, {HITS}", prepare)
+        return append_columns(df, columns, text_col, HITS, prepare)
 
-    if len(tables) == 1:
-        return one(tables[0]).select(*[F.col(k).alias(c) for k, c in own.items()], "n_words", "starts", "ends", "items")
-    return _merge_passes(df, tables, one, own)
+    return one(tables[0]) if len(tables) == 1 else _merge_passes(tables, one, columns)
 
 
-def _merge_passes(df: DataFrame, tables: list, one, own: dict[str, str]) -> DataFrame:
+def _merge_passes(tables: list, one, columns: list[str]) -> DataFrame:
     """Later passes give only the rows that they hit; their ranges are joined to those of the first pass. Rows are told
-    apart by the hash of all that is returned with them, so copies of a row get the same, right, ranges."""
-    key = F.xxhash64(*[F.col(k) for k in own]).alias("row_key")
-    first = one(tables[0]).withColumn("row_key", key)
+    apart by all that is returned with them and their number of words, so copies of a row share their ranges, rightly
+    unless two texts of one id and one length go without their text column."""
+    range_ = "array<struct<starts:int,ends:int>>"
+    key = F.struct(*[F.col(f"`{c}`") for c in columns], "n_words")
+    first = one(tables[0]).withColumn("row_key", F.sha2(F.to_json(key), 256))
     rest = None
     for t in tables[1:]:
-        part = one(t).withColumn("row_key", key).filter(F.size("items") > 0).select("row_key", *own, "starts", "ends", "items")
+        part = one(t).filter(F.size("items") > 0).select(F.sha2(F.to_json(key), 256).alias("row_key"), F.arrays_zip("starts", "ends").cast(range_).alias("r"), F.col("items").alias("i"))
         rest = part if rest is None else rest.union(part)
-    rest = rest.groupBy("row_key", *own).agg(
-        F.flatten(F.collect_set("starts")).alias("s2"), F.flatten(F.collect_set("ends")).alias("e2"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("i2"),
-        F.flatten(F.collect_set(F.arrays_zip("starts", "ends"))).alias("r2"),
-    )
-    both = first.join(rest.drop(*own), "row_key", "left")
-    ranges = F.array_sort(F.concat(F.arrays_zip("starts", "ends"), F.coalesce("r2", F.array().cast("array<struct<starts:int,ends:int>>"))))
+    rest = rest.groupBy("row_key").agg(F.flatten(F.collect_set("r")).alias("r2"), F.flatten(F.collect_set("i")).alias("i2"))
+    both = first.join(rest, "row_key", "left")
+    ranges = F.array_sort(F.concat(F.arrays_zip("starts", "ends").cast(range_), F.coalesce("r2", F.array().cast(range_))))
+    grown = lambda acc, x: F.struct(F.try_element_at(acc, F.lit(-1))["starts"].alias("starts"), F.greatest(F.try_element_at(acc, F.lit(-1))["ends"], x["ends"]).alias("ends"))
     joined = F.aggregate(
         ranges,
-        F.array().cast("array<struct<starts:int,ends:int>>"),
+        F.array().cast(range_),
         lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["ends"] >= x["starts"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], x["ends"]).alias("ends"))),
-            ),
+            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["ends"] >= x["starts"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown(acc, x)))
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    both = both.withColumn("ranges", joined)
     items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i2", F.array().cast("array<bigint>")))))
-    return both.select(*[F.col(k).alias(c) for k, c in own.items()], "n_words", F.col("ranges.starts").alias("starts"), F.col("ranges.ends").alias("ends"), items.alias("items"))
+    both = both.withColumn("ranges", joined)
+    return both.select(*[F.col(f"`{c}`") for c in columns], "n_words", F.col("ranges.starts").alias("starts"), F.col("ranges.ends").alias("ends"), items.alias("items"))
 
 
 def verdict(found: DataFrame) -> tuple[F.Column, F.Column]:

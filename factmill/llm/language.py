@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factmill.llm.common import crc_mod, keyed, map_batches, read
+from factmill.llm.common import append_columns, crc_mod, keyed, read
 
 #: Bounds of the sample.
 PER_LANGUAGE, LANGUAGES, FIT_CHARS = 300, 100, 50_000
@@ -173,19 +173,13 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         if own.langs:
             own.prepare()
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = own.predict(batch.column("t").to_pylist())
-            names = [x for x in batch.schema.names if x not in ("t",)]
-            columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *columns], [*names, "lang_pred", "score", "rejected"])
+        def work(texts):
+            got = own.predict(texts)
+            return [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
 
-        return step
+        return work
 
-    kinds = dict(df.dtypes)
-    own = {f"c{i}": c for i, c in enumerate(dict.fromkeys([id_col, *keep]))}
-    schema = ", ".join(f"{k} {kinds[c]}" for k, c in own.items()) + ", lang_pred string, score double, rejected boolean"
-    out = map_batches(keyed(df, **own, t=text_col), schema, prepare)
-    return out.select(*[F.col(k).alias(c) for k, c in own.items()], "lang_pred", "score", "rejected")
+    return append_columns(df, [id_col, *keep], text_col, "lang_pred string, score double, rejected boolean", prepare)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2) -> DataFrame:
-    """doc, n (shingles), digest (of the set; null if it is empty), sig (packed 16-bit values)."""
+    """doc, n (shingles), digest (of the set; null if it is empty), sig (packed 16-bit values), text_hash (of the text)."""
 
     def prepare():
         shingler, (a, b) = Shingler(size), _multipliers(SYMBOLS)
@@ -101,12 +101,19 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s, a, b).tobytes() if len(s) else None)
             return pa.RecordBatch.from_arrays(
-                [batch.column("k"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc", "n", "digest", "sig"]
+                [batch.column("k"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), batch.column("h")],
+                ["doc", "n", "digest", "sig", "text_hash"],
             )
 
         return step
 
-    return map_batches(keyed(df, k=id_col, t=text_col), "doc long, n long, digest binary, sig binary", prepare)
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.col(f"`{text_col}`").alias("t"), text_hash(text_col).alias("h"))
+    return map_batches(rows, "doc long, n long, digest binary, sig binary, text_hash long", prepare)
+
+
+def text_hash(text_col: str) -> F.Column:
+    """Tells rows apart that share an id."""
+    return F.xxhash64(F.col(f"`{text_col}`"))
 
 
 def bucket_keys(classes: DataFrame) -> DataFrame:
@@ -251,7 +258,7 @@ def links(sets: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row."""
+    """doc_id, n_shingles, component_id, kept and text_hash (see text_hash()) for every row."""
     spark = df.sparkSession
     sigs = cut(signatures(df, id_col, text_col, size))
     classes = sigs.filter("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
@@ -262,12 +269,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = cut(full_sets(df, candidates, id_col, text_col, size))
     found = components(cut(links(sets, percent)))
     copies = classes.filter("copies > 1").select("digest", "rep")
-    out = sigs.select("doc", "n", "digest").join(copies, "digest", "left").withColumn("id", F.coalesce("rep", F.when(F.col("n") > 0, F.col("doc"))))
+    out = sigs.select("doc", "n", "digest", "text_hash").join(copies, "digest", "left").withColumn("id", F.coalesce("rep", F.when(F.col("n") > 0, F.col("doc"))))
     out = out.join(found, "id", "left")
     top = F.coalesce("comp", "id", "doc")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), top.alias("component_id"), (F.col("doc") == top).alias("kept"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), top.alias("component_id"), (F.col("doc") == top).alias("kept"), "text_hash")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
+    """The rows of df of which each component keeps one. Only what goes is joined, by id and text hash; of rows that are
+    equal in both one stays, and rows without an id stay."""
+    found = near_duplicates(df, id_col, text_col, size, percent)
+    found = cut(found.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept"))
+    rows = df.withColumn("_id", F.col(f"`{id_col}`").cast("long")).withColumn("_hash", text_hash(text_col))
+    left = rows.join(found.filter("not kept").select("_id", "_hash").distinct(), ["_id", "_hash"], "left_anti")
+    again = found.filter("kept").groupBy("_id", "_hash").count().filter("count > 1").select("_id", "_hash")
+    if not again.isEmpty():
+        again = cut(again)
+        one = left.join(again, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+        left = left.join(again, ["_id", "_hash"], "left_anti").unionByName(one)
+    return left.select(*[F.col(f"`{c}`") for c in df.columns])

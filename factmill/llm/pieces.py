@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.llm.common import keyed, map_batches, read, texts_of
+from factmill.llm.common import append_columns, keyed, map_batches, read
 
 MARK = "▁"
 _CHUNKS = re.compile(r" *[^ ]+| +")
@@ -137,22 +137,24 @@ class Codec:
         return out
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, begin_end: bool = True) -> DataFrame:
-    """id_col, ids array<int>, packed binary (the same ids as little-endian unsigned 32-bit integers)."""
+def _lists(packed: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0, *(len(x) // 4 for x in packed)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, begin_end: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, the columns in keep, ids array<int>, and packed binary, the same ids as little-endian unsigned 32-bit integers."""
 
     def prepare():
         codec = Codec(model or model_path(), begin_end)
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = codec.encode(texts_of(batch, "t"))
-            ids = pa.array([np.frombuffer(x, "<u4").astype("i4") for x in packed], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([batch.column("k"), ids, pa.array(packed, pa.binary())], ["k", "ids", "packed"])
+        def work(texts):
+            packed = codec.encode([t or "" for t in texts])
+            return [_lists(packed), pa.array(packed, pa.binary())]
 
-        return step
+        return work
 
-    kind = dict(df.dtypes)[id_col]
-    out = map_batches(keyed(df, k=id_col, t=text_col), f"k {kind}, ids array<int>, packed binary", prepare)
-    return out.withColumnRenamed("k", id_col)
+    return append_columns(df, [id_col, *keep], text_col, "ids array<int>, packed binary", prepare)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
@@ -171,28 +173,20 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: s
     return map_batches(keyed(df, k=id_col, i=ids_col), f"k {kind}, decoded string", prepare).withColumnRenamed("k", id_col)
 
 
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Encode and decode in one pass: id_col, the columns in keep, packed binary, decoded string."""
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, keep: tuple[str, ...] = (), lists: bool = False) -> DataFrame:
+    """Encode and decode in one pass: id_col, the columns in keep, packed binary, decoded string; with lists also ids array<int>."""
 
     def prepare():
         codec = Codec(model or model_path())
 
-        def step(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                packed = codec.encode(texts_of(part, "t"))
-                rest = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "t"]
-                names = [x for x in part.schema.names if x != "t"] + ["packed", "decoded"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary()), pa.array(codec.decode(packed), pa.string())], names)
+        def work(texts):
+            packed = codec.encode([t or "" for t in texts])
+            out = [pa.array(packed, pa.binary()), pa.array(codec.decode(packed), pa.string())]
+            return [*out, _lists(packed)] if lists else out
 
-        return step
+        return work
 
-    kinds = dict(df.dtypes)
-    names = [id_col, *(c for c in keep if c != id_col)]
-    own = {f"c{i}": c for i, c in enumerate(names)}
-    schema = ", ".join(f"{k} {kinds[c]}" for k, c in own.items()) + ", packed binary, decoded string"
-    out = map_batches(keyed(df, **own, t=text_col), schema, prepare)
-    return out.select(*[F.col(k).alias(c) for k, c in own.items()], "packed", "decoded")
+    return append_columns(df, [id_col, *keep], text_col, "packed binary, decoded string" + ", ids array<int>" * lists, prepare)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

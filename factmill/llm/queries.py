@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run as pipeline
 from factmill.llm.decontaminate import op7_decontamination
 from factmill.llm.language import op5_language
 from factmill.llm.near import op9_near_duplicates
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_secrets": op10_secrets,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_warc": OP8_SQL}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.llm.common import keyed, map_batches, read, texts_of
+from factmill.llm.common import append_columns, read
 
 
 @dataclass(frozen=True)
@@ -205,27 +205,17 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
     def prepare():
         scanner = Scanner(rules)
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = texts_of(batch, "t")
-            spans = scanner.scan(texts)
-            names = [x for x in batch.schema.names if x != "t"]
-            out = [batch.column(x) for x in names]
+        def work(texts):
+            spans = scanner.scan([t or "" for t in texts])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            out.append(pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in spans], kind))
-            names.append("spans")
+            out = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in spans], kind)]
             if redacted:
-                whole = batch.column("t").to_pylist()
-                out.append(pa.array([t if not x else redact(t, x) for t, x in zip(whole, spans, strict=True)], pa.string()))
-                names.append("redacted")
-            return pa.RecordBatch.from_arrays(out, names)
-
-        return step
-
-    kinds = dict(df.dtypes)
-    own = {f"c{i}": c for i, c in enumerate(dict.fromkeys([id_col, *keep]))}
-    schema = ", ".join(f"{k} {kinds[c]}" for k, c in own.items()) + f", spans {SPANS}" + ", redacted string" * redacted
-    out = map_batches(keyed(df, **own, t=text_col), schema, prepare)
-    return out.select(*[F.col(k).alias(c) for k, c in own.items()], "spans", *["redacted"] * redacted)
+                out.append(pa.array([t if not x else redact(t, x) for t, x in zip(texts, spans, strict=True)], pa.string()))
+            return out
+
+        return work
+
+    return append_columns(df, [id_col, *keep], text_col, f"spans {SPANS}" + ", redacted string" * redacted, prepare)
 
 
 def joined(spans) -> F.Column:

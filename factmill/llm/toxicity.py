@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factmill.llm.common import crc_mod, keyed, map_batches, read, texts_of
+from factmill.llm.common import append_columns, crc_mod, keyed, read
 from factmill.llm.decontaminate import WORDS
 
 PER_LABEL, FIT_CHARS = 1200, 50_000
@@ -199,22 +199,15 @@ def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "
     def prepare():
         own, table = shared.value, {}
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = own.score(texts_of(batch, "t"), table)
-            names = [x for x in batch.schema.names if x != "t"]
+        def work(texts):
+            got = own.score([t or "" for t in texts], table)
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
             evidence = [[{"doc_id": a, "label": b, "cosine": c} for a, b, c in e] for _, e in got]
-            return pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in names), pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, kind)], [*names, "score", "evidence"]
-            )
+            return [pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, kind)]
 
-        return step
+        return work
 
-    kinds = dict(df.dtypes)
-    own = {f"c{i}": c for i, c in enumerate(dict.fromkeys([id_col, *keep]))}
-    schema = ", ".join(f"{k} {kinds[c]}" for k, c in own.items()) + ", score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>"
-    out = map_batches(keyed(df, **own, t=text_col), schema, prepare)
-    return out.select(*[F.col(k).alias(c) for k, c in own.items()], "score", "evidence")
+    return append_columns(df, [id_col, *keep], text_col, "score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>", prepare)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
