@@ -1,28 +1,73 @@
-"""Connected components of an edge table, by smallest neighbouring label and pointer jumping."""
+"""Connected components of an edge table, by repeated local union-find."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factmill.llm.common import cut
 
+#: Ids that a task's union-find holds before it gives out what it has found and starts anew.
+MOST_IDS = 1_000_000
+
+
+class _Forest:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        r = x
+        while (p := up.get(r, r)) != r:
+            r = p
+        while (p := up.get(x, x)) != r:
+            up[x], x = r, p
+        return r
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        self.up.setdefault(min(a, b), min(a, b))
+
+    def out(self) -> pa.RecordBatch:
+        pairs = [(x, r) for x in self.up if (r := self.root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], ["u", "v"])
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """id and comp, the smallest id of its component, for every id of the edges.
+    """id and comp, the smallest id of its component, for every id of the edges (edges of an id to itself count for nothing).
 
-    Each round takes the smallest label among an id's neighbours, then follows labels once more, so a path of n ids takes
-    about log n rounds. Labels are written to the shared checkpoint folder after each round; nothing but the number of
-    changed labels comes to the driver. An empty edge table gives an empty result.
+    In each round every edge goes to the tasks of both its ends, sorted by that end; a task joins all it gets by union-find
+    and gives each id an edge to its smallest known id. All edges of an id meet in one task, so a round that changes
+    nothing leaves only edges to the smallest id of a component. Rounds grow as the logarithm of the longest path; a task
+    holds at most MOST_IDS ids, as it gives out its edges and goes on with the current id's smallest one. What comes to
+    the driver in a round is a count and a sum. An empty edge table gives an empty result.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    both = cut(pairs.union(pairs.select("v", "u")).distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("comp")).withColumnRenamed("u", "id"))
+    pairs = edges.select(F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")).filter("u <> v")
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        for batch in batches:
+            for node, other in zip(batch.column("node").to_pylist(), batch.column("other").to_pylist(), strict=True):
+                if len(forest.up) >= MOST_IDS:
+                    low = forest.root(node)
+                    yield forest.out()
+                    forest = _Forest()
+                    if low != node:
+                        forest.join(node, low)
+                forest.join(node, other)
+        yield forest.out()
+
+    mark = None
     while True:
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("comp").alias("low"))
-        step = labels.join(near, "id").select("id", "comp", F.least("comp", "low").alias("new"))
-        up = labels.select(F.col("id").alias("new"), F.col("comp").alias("top"))
-        step = cut(step.join(up, "new").select("id", "comp", F.least("new", "top").alias("new")))
-        labels = step.select("id", F.col("new").alias("comp"))
-        if step.filter("new <> comp").isEmpty():
-            return labels
+        both = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("other")), F.struct(F.col("v").alias("node"), F.col("u").alias("other")))).alias("e"))
+        both = both.select("e.node", "e.other").repartition("node").sortWithinPartitions("node", "other")
+        pairs = cut(both.mapInArrow(unite, "u long, v long").distinct())
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == mark:
+            ids = pairs.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+            return ids.union(pairs.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
+        mark = now
