@@ -21,19 +21,29 @@ def with_context(paragraphs: DataFrame, chapter: list[str], order: str = "para",
     rows = paragraphs.withColumn("_before", F.lag(F.element_at(sents, -1)).over(w)).withColumn("_after", F.lead(F.get(sents, F.lit(0))).over(w))
     rows = rows.withColumn("_usable", F.transform(sents, lambda s: (T.word_count(s) >= 5) & ~T.is_junk(s)))
     rows = rows.withColumn("_defines", F.transform(sents, lambda s: T.is_definition(s)))
-    rows = rows.select("*", F.posexplode(sents).alias("sent", "fact")).filter(T.is_good_fact("fact"))
-    s, i = F.col(sents), F.col("sent")
-    pick = lambda test: F.get(F.filter(F.transform(s, lambda x, j: F.when(test(x, j), x)), lambda x: x.isNotNull()), F.lit(0))
+    rows = T.unnest(rows, sents, "sent", "fact", rows.columns).filter(T.is_good_fact("fact"))
+    s, i, fact = F.col(sents), F.col("sent"), F.col("fact")
+    pick = lambda test: F.get(F.filter(s, test), F.lit(0))
     usable = lambda j: F.get("_usable", j) & (j != i)
-    true = pick(lambda x, j: usable(j) & F.get("_defines", j))
-    before = F.when(i > 0, F.get(s, i - 1)).otherwise(F.col("_before"))
-    rows = rows.withColumn("_true", true).withColumn("definition", F.coalesce("_true", before))
-    following = F.coalesce(F.get(s, i + 1), F.col("_after"))
-    other = pick(lambda x, j: usable(j) & ~x.eqNullSafe(F.col("definition")) & (x != F.col("fact")))
-    rows = rows.withColumn("example", F.when(following.eqNullSafe(F.col("definition")), other).otherwise(following))
-    rows = rows.withColumn("true_definition", F.col("_true").isNotNull())
-    different = (F.col("definition") != "") & (F.col("example") != "") & (F.col("fact") != F.col("definition")) & (F.col("fact") != F.col("example")) & (F.col("definition") != F.col("example"))
-    return rows.filter(different).drop("_before", "_after", "_usable", "_defines", "_true", sents)
+    # Each step binds what the next one uses several times; a filter on plain columns would be pushed down and copy it all.
+    step = F.array(
+        F.struct(
+            pick(lambda x, j: usable(j) & F.get("_defines", j)).alias("true"),
+            F.when(i > 0, F.get(s, i - 1)).otherwise(F.col("_before")).alias("before"),
+            F.coalesce(F.get(s, i + 1), F.col("_after")).alias("next"),
+        )
+    )
+    step = F.transform(step, lambda r: F.struct(r["true"].isNotNull().alias("true"), F.coalesce(r["true"], r["before"]).alias("definition"), r["next"].alias("next")))
+    step = F.transform(
+        step,
+        lambda r: F.struct(
+            r["definition"].alias("definition"),
+            F.when(r["next"].eqNullSafe(r["definition"]), pick(lambda x, j: usable(j) & ~x.eqNullSafe(r["definition"]) & (x != fact))).otherwise(r["next"]).alias("example"),
+            r["true"].alias("true_definition"),
+        ),
+    )
+    step = F.filter(step, lambda r: (r["definition"] != "") & (r["example"] != "") & (fact != r["definition"]) & (fact != r["example"]) & (r["definition"] != r["example"]))
+    return rows.select(*[c for c in rows.columns if c not in ("_before", "_after", "_usable", "_defines", sents)], F.inline_outer(step)).filter("definition is not null")
 
 
 def score(freq: T.ColumnLike, true_definition: T.ColumnLike) -> Column:
@@ -47,7 +57,7 @@ def candidates(paragraphs: DataFrame, chapter: list[str], order: str = "para", s
     """with_context() with key_term, freq and score; frequencies count every sentence of every paragraph. Terms are found
     once for each sentence, and the choice is joined back by the sentence's place."""
     keys = [*chapter, order, "sent"]
-    sentences = paragraphs.select(*chapter, order, F.posexplode(sents).alias("sent", "sentence")).withColumn("terms", X.term_candidates("sentence"))
+    sentences = T.unnest(paragraphs, sents, "sent", "sentence", [*chapter, order]).withColumn("terms", X.term_candidates("sentence"))
     freq = X.term_frequency(sentences)
     chosen = X.choose_key_term(sentences.filter(T.is_good_fact("sentence")), freq, keys)
     rows = with_context(paragraphs, chapter, order, sents).join(chosen, keys)
@@ -119,7 +129,7 @@ def drop_reason() -> Column:
 
 def unit_frequency(units: DataFrame) -> DataFrame:
     """Frequencies over the facts, definitions and examples of all units."""
-    texts = units.select(F.explode(F.array("fact", "definition", "example")).alias("s"))
+    texts = T.unnest(units, F.array("fact", "definition", "example"), "_n", "s", [])
     return X.term_frequency(texts.select(X.term_candidates("s").alias("terms")))
 
 

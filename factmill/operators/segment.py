@@ -30,7 +30,8 @@ def lines(books: DataFrame, text_col: str = "text") -> DataFrame:
     ends = F.aggregate(
         "_lines", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1))
     )
-    rows = split.select(*[c for c in books.columns if c != text_col], F.posexplode(F.arrays_zip("_lines", F.slice(ends, F.lit(1), F.size("_lines")).alias("o"))).alias("line_no", "_z"))
+    zipped = F.arrays_zip("_lines", F.slice(ends, F.lit(1), F.size("_lines")).alias("o"))
+    rows = T.unnest(split, zipped, "line_no", "_z", [c for c in books.columns if c != text_col])
     return rows.select("*", F.col("_z._lines").alias("line"), F.col("_z.o").alias("off")).drop("_z")
 
 
@@ -110,10 +111,10 @@ def number_sentences(sentences: DataFrame, order: list[str], name: str = "positi
 def document_paragraphs(docs: DataFrame, fold: bool = True) -> DataFrame:
     """Documents as chapters of the book of their language: doc_id, lang, para (line number), line and sents."""
     text = T.fold_accents("text") if fold else F.col("text")
-    rows = docs.select("doc_id", "lang", F.posexplode(F.split(text, "\n")).alias("para", "line"))
+    rows = T.unnest(docs, F.split(text, "\n"), "para", "line", ["doc_id", "lang"])
     rows = rows.filter((F.col("line") != "") & keeps_paragraph("line"))
     return rows.withColumn("sents", split_sentences(T.strip_markers("line")))
 
 
 def document_sentences(docs: DataFrame, fold: bool = True) -> DataFrame:
-    return document_paragraphs(docs, fold).select("doc_id", "lang", "para", F.posexplode("sents").alias("sent", "sentence"))
+    return T.unnest(document_paragraphs(docs, fold), "sents", "sent", "sentence", ["doc_id", "lang", "para"])

@@ -50,7 +50,7 @@ def sentences_split(spark, d):
 
 @query(f"WITH {S.PARAS} SELECT l.doc_id, count(*) AS n_lines, sum(CASE WHEN {S.keeps('line')} THEN 1 ELSE 0 END)::BIGINT AS n_kept FROM lines l WHERE line <> '' GROUP BY 1")
 def paragraph_filter(spark, d):
-    rows = docs(spark, d).select("doc_id", F.explode(F.split(T.fold_accents("text"), "\n")).alias("line")).filter("line <> ''")
+    rows = T.unnest(docs(spark, d), F.split(T.fold_accents("text"), "\n"), "n", "line", ["doc_id"]).filter("line <> ''")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.when(segment.keeps_paragraph("line"), 1).otherwise(0)).alias("n_kept"))
 
 
@@ -138,7 +138,7 @@ def _terms(spark, d):
 
 @query(f"WITH {S.SENTENCE_TERMS} SELECT doc_id, para, sent, term FROM st")
 def proper_noun_terms(spark, d):
-    return _terms(spark, d).select("doc_id", "para", "sent", F.explode("terms").alias("term"))
+    return T.unnest(_terms(spark, d), "terms", "n", "term", ["doc_id", "para", "sent"]).drop("n")
 
 
 MEASURES = [
