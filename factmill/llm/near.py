@@ -34,7 +34,7 @@ from factmill.llm.graph import components
 CHUNKS, PLACES, ERRORS = 13, 5, 1
 SYMBOLS = CHUNKS * PLACES
 #: Rows and shingles of a block of full sets; a comparison holds two blocks.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 600_000
 #: Bits of the filter that keeps texts out of the second reading; a fixed 4 MB at most, whatever the input.
 FILTER_BITS = 1 << 25
 TABLE_ROWS = 300_000
@@ -265,7 +265,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = cut(classes)
     keys = bucket_keys(classes)
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    candidates = components(keys.join(heads, "key").select(F.col("rep").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct())
+    # A class has at most one head for each of its keys; joined through the smallest of them, its links are few.
+    own = keys.join(heads, "key").filter("rep <> head").groupBy("rep").agg(F.min("head").alias("low"), F.collect_set("head").alias("others"))
+    through = own.select(F.explode("others").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+    candidates = components(own.select(F.col("rep").alias("a"), F.col("low").alias("b")).union(through))
     sets = cut(full_sets(df, candidates, id_col, text_col, size))
     found = components(cut(links(sets, percent)))
     copies = classes.filter("copies > 1").select("digest", "rep")
