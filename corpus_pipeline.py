@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from factmill.llm import decontaminate, language, near, pieces, secret_scan
 from factmill.llm.common import crc_mod, read, shared_path
 
+#: Before the names of columns that an operator adds, so that they can't clash with those of documents.
+OWN = "_op_"
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; the model is learned from the rows that are not held out."""
     model = language.fit(docs.filter(crc_mod("doc_id", 5) != 0))
-    found = language.identify(docs, model, keep=tuple(docs.columns))
-    return found.filter("not rejected").select(*docs.columns)
+    found = language.identify(docs, model, keep=tuple(docs.columns), prefix=OWN)
+    return found.filter(~F.col(OWN + "rejected")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,33 +32,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less than a twentieth of whose words are in benchmark windows."""
-    found = decontaminate.find(docs, read(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    _, contaminated = decontaminate.verdict(found)
+    found = decontaminate.find(docs, read(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), prefix=OWN)
+    _, contaminated = decontaminate.verdict(OWN)
     return found.filter(~contaminated).select(*docs.columns)
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by their kind; n_chars is that of the new text."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    found = secret_scan.scan(docs, redacted=True, keep=rest)
-    new = {"text": F.col("redacted")}
+    found = secret_scan.scan(docs, redacted=True, keep=rest, prefix=OWN)
+    new = {"text": F.col(OWN + "redacted")}
     if "n_chars" in docs.columns:
-        changed = F.size("spans") > 0
-        new["n_chars"] = F.when(changed, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = F.size(OWN + "spans") > 0
+        new["n_chars"] = F.when(changed, F.length(OWN + "redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, their digest, and whether they decode to the same text."""
-    out = pieces.round_trip(docs, keep=("lang", "source", "text"), lists=True)
+    out = pieces.round_trip(docs, keep=("lang", "source", "text"), lists=True, prefix=OWN)
+    packed, decoded = OWN + "packed", OWN + "decoded"
     return out.select(
         "doc_id",
         "lang",
         "source",
-        (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
-        F.sha2("packed", 256).alias("ids_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"),
-        "ids",
+        (F.octet_length(packed) / 4).cast("long").alias("n_tokens"),
+        F.sha2(packed, 256).alias("ids_sha256"),
+        (F.col(decoded) == F.coalesce("text", F.lit(""))).alias("same_text"),
+        F.col(OWN + "ids").alias("ids"),
     )
 
 

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that goes to Python; whole texts may be long, so this is far below Spark's default.
@@ -90,9 +90,10 @@ def append_columns(
     text_col: str,
     added: str,
     prepare: Callable[[], Callable[[list[str | None]], list[pa.Array]]],
+    prefix: str = "",
 ) -> DataFrame:
-    """The columns in keep and those that a function of a batch's texts makes (added: their schema). Columns travel under
-    internal names, so clashing names do no harm, and the text travels once, kept or not."""
+    """The columns in keep and those that a function of a batch's texts makes (added: their schema), their names after
+    prefix. Columns travel under internal names, so clashing names do no harm, and the text travels once, kept or not."""
     kinds = dict(df.dtypes)
     own = {f"c{i}": c for i, c in enumerate(dict.fromkeys(keep))}
     text = next((k for k, c in own.items() if c == text_col), "t")
@@ -110,7 +111,7 @@ def append_columns(
 
     rows = keyed(df, **own, **({} if text in own else {"t": text_col}))
     out = map_batches(rows, schema, begin)
-    return out.select(*[F.col(k).alias(c) for k, c in own.items()], *new)
+    return out.select(*[F.col(k).alias(c) for k, c in own.items()], *[F.col(c).alias(prefix + c) for c in new])
 
 
 def keyed(df: DataFrame, **columns: str) -> DataFrame:
@@ -118,6 +119,20 @@ def keyed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[c].alias(k) for k, c in columns.items()])
 
 
+def hash_sample(ids: DataFrame, group: str, key: str, per_group: int, groups: int = 100) -> DataFrame:
+    """group, key and place (from 1) of at most per_group distinct keys of each of the groups largest groups, those of
+    smallest hash. A bound on the hash from the group's size lets about four times as many rows through, before any shuffle
+    and however large a group is, so what is sorted has a fixed size."""
+    counts = ids.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(groups).collect()
+    top = (1 << 63) - 1
+    kind = ids.schema[group].dataType.simpleString()
+    bounds = ids.sparkSession.createDataFrame([(r[group], min(top, int(4.0 * per_group / r["n"] * 2.0**62) * 2)) for r in counts], f"{group} {kind}, _most long")
+    rows = ids.select(group, key).withColumn("_h", F.xxhash64(key).bitwiseAND(F.lit(top))).join(F.broadcast(bounds), group)
+    rows = rows.filter(F.col("_h") <= F.col("_most")).dropDuplicates([group, key])
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_h", key))
+    return rows.withColumn("place", place).filter(F.col("place") <= per_group).select(group, key, "place")
+
+
 def crc_mod(doc_id: str | F.Column, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -175,8 +175,8 @@ def passes(benchmark: DataFrame, id_col: str, text_col: str, size: int, most: in
 HITS = "n_words long, starts array<int>, ends array<int>, items array<long>"
 
 
-def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), size: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """id_col, the columns in keep, n_words, the ranges of hit words (starts, ends) and the items that occur."""
+def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), size: int = WINDOW, most_windows: int = MOST_WINDOWS, prefix: str = "") -> DataFrame:
+    """id_col, the columns in keep, and after prefix n_words, the ranges of hit words (starts, ends) and the items that occur."""
     spark = df.sparkSession
     tables = [spark.sparkContext.broadcast(w) for w in passes(benchmark, item_id, item_text, size, most_windows)]
     tables = tables or [spark.sparkContext.broadcast({})]
@@ -193,25 +193,26 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
             return work
 
-        return append_columns(df, columns, text_col, HITS, prepare)
+        return append_columns(df, columns, text_col, HITS, prepare, prefix)
 
-    return one(tables[0]) if len(tables) == 1 else _merge_passes(tables, one, columns)
+    return one(tables[0]) if len(tables) == 1 else _merge_passes(tables, one, columns, prefix)
 
 
-def _merge_passes(tables: list, one, columns: list[str]) -> DataFrame:
+def _merge_passes(tables: list, one, columns: list[str], p: str) -> DataFrame:
     """Later passes give only the rows that they hit; their ranges are joined to those of the first pass. Rows are told
     apart by all that is returned with them and their number of words, so copies of a row share their ranges, rightly
     unless two texts of one id and one length go without their text column."""
     range_ = "array<struct<starts:int,ends:int>>"
-    key = F.struct(*[F.col(f"`{c}`") for c in columns], "n_words")
-    first = one(tables[0]).withColumn("row_key", F.sha2(F.to_json(key), 256))
+    key = F.struct(*[F.col(f"`{c}`") for c in columns], f"{p}n_words")
+    mark = p + "row_key"
+    first = one(tables[0]).withColumn(mark, F.sha2(F.to_json(key), 256))
     rest = None
     for t in tables[1:]:
-        part = one(t).filter(F.size("items") > 0).select(F.sha2(F.to_json(key), 256).alias("row_key"), F.arrays_zip("starts", "ends").cast(range_).alias("r"), F.col("items").alias("i"))
+        part = one(t).filter(F.size(f"{p}items") > 0).select(F.sha2(F.to_json(key), 256).alias(mark), F.arrays_zip(f"{p}starts", f"{p}ends").cast(range_).alias(f"{p}r"), F.col(f"{p}items").alias(f"{p}i"))
         rest = part if rest is None else rest.union(part)
-    rest = rest.groupBy("row_key").agg(F.flatten(F.collect_set("r")).alias("r2"), F.flatten(F.collect_set("i")).alias("i2"))
-    both = first.join(rest, "row_key", "left")
-    ranges = F.array_sort(F.concat(F.arrays_zip("starts", "ends").cast(range_), F.coalesce("r2", F.array().cast(range_))))
+    rest = rest.groupBy(mark).agg(F.flatten(F.collect_set(f"{p}r")).alias(f"{p}r2"), F.flatten(F.collect_set(f"{p}i")).alias(f"{p}i2"))
+    both = first.join(rest, mark, "left")
+    ranges = F.array_sort(F.concat(F.arrays_zip(f"{p}starts", f"{p}ends").cast(range_), F.coalesce(f"{p}r2", F.array().cast(range_))))
     grown = lambda acc, x: F.struct(F.try_element_at(acc, F.lit(-1))["starts"].alias("starts"), F.greatest(F.try_element_at(acc, F.lit(-1))["ends"], x["ends"]).alias("ends"))
     joined = F.aggregate(
         ranges,
@@ -220,21 +221,22 @@ def _merge_passes(tables: list, one, columns: list[str]) -> DataFrame:
             (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["ends"] >= x["starts"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown(acc, x)))
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i2", F.array().cast("array<bigint>")))))
-    both = both.withColumn("ranges", joined)
-    return both.select(*[F.col(f"`{c}`") for c in columns], "n_words", F.col("ranges.starts").alias("starts"), F.col("ranges.ends").alias("ends"), items.alias("items"))
+    items = F.array_sort(F.array_distinct(F.concat(f"{p}items", F.coalesce(f"{p}i2", F.array().cast("array<bigint>")))))
+    both = both.withColumn(f"{p}ranges", joined)
+    ranges = F.col(f"{p}ranges")
+    return both.select(*[F.col(f"`{c}`") for c in columns], f"{p}n_words", ranges["starts"].alias(f"{p}starts"), ranges["ends"].alias(f"{p}ends"), items.alias(f"{p}items"))
 
 
-def verdict(found: DataFrame) -> tuple[F.Column, F.Column]:
-    """n_hit and contaminated of what find() returns."""
-    n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    return n_hit, (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+def verdict(p: str = "") -> tuple[F.Column, F.Column]:
+    """n_hit and contaminated of what find() returns after the prefix p."""
+    n_hit = F.aggregate(F.zip_with(f"{p}starts", f"{p}ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return n_hit, (n_hit > 0) & (20 * n_hit >= F.col(f"{p}n_words"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in benchmark windows, the items they come from, and whether the document is contaminated."""
     found = find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    n_hit, contaminated = verdict(found)
+    n_hit, contaminated = verdict()
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), contaminated.alias("contaminated")

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.llm.common import append_columns, crc_mod, keyed, read
+from factmill.llm.common import append_columns, crc_mod, hash_sample, keyed, read
 
 #: Bounds of the sample.
 PER_LANGUAGE, LANGUAGES, FIT_CHARS = 300, 100, 50_000
@@ -151,21 +151,18 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Fit on a bounded sample: first the sampled ids, from narrow columns (a limit per language that Spark applies before
-    the shuffle), then their texts, by a broadcast join with those at most languages * per_language ids."""
+    """Fit on a bounded sample: first the sampled ids, from narrow columns, then their texts, by a broadcast join with those
+    at most languages * per_language ids."""
     rows = keyed(docs, k=id_col, t=text_col, g=lang_col).filter("g is not null and t is not null")
-    ids = rows.filter(F.length("t").between(1, FIT_CHARS)).select("k", "g", F.xxhash64("k").alias("h"))
-    kept = ids.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(languages)
-    top = ids.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("h", "k"))).filter(F.col("r") <= per_language)
-    top = top.join(F.broadcast(kept.select("g")), "g", "left_semi").select("k", "g").distinct()
+    top = hash_sample(rows.filter(F.length("t").between(1, FIT_CHARS) & F.col("t").rlike(r"\p{L}")), "g", "k", per_language, languages).select("k", "g")
     got = rows.filter(F.length("t").between(1, FIT_CHARS)).join(F.broadcast(top), ["k", "g"]).select("k", "t", "g").collect()
     got.sort(key=lambda r: (str(r["k"]), r["g"], r["t"]))
     got = [r for r in got[: 2 * languages * per_language] if has_letter(r["t"])]
     return Model([r["t"] for r in got], [r["g"] for r in got])
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns in keep, lang_pred, score and rejected of every row."""
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """id_col, the columns in keep, and after prefix lang_pred, score and rejected of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # a few MB at most, by the model's bounds
 
     def prepare():
@@ -179,7 +176,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
         return work
 
-    return append_columns(df, [id_col, *keep], text_col, "lang_pred string, score double, rejected boolean", prepare)
+    return append_columns(df, [id_col, *keep], text_col, "lang_pred string, score double, rejected boolean", prepare, prefix)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

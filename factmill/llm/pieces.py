@@ -173,8 +173,8 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: s
     return map_batches(keyed(df, k=id_col, i=ids_col), f"k {kind}, decoded string", prepare).withColumnRenamed("k", id_col)
 
 
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, keep: tuple[str, ...] = (), lists: bool = False) -> DataFrame:
-    """Encode and decode in one pass: id_col, the columns in keep, packed binary, decoded string; with lists also ids array<int>."""
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, keep: tuple[str, ...] = (), lists: bool = False, prefix: str = "") -> DataFrame:
+    """Encode and decode in one pass: id_col, the columns in keep, and after prefix packed binary, decoded string; with lists also ids array<int>."""
 
     def prepare():
         codec = Codec(model or model_path())
@@ -186,7 +186,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
         return work
 
-    return append_columns(df, [id_col, *keep], text_col, "packed binary, decoded string" + ", ids array<int>" * lists, prepare)
+    return append_columns(df, [id_col, *keep], text_col, "packed binary, decoded string" + ", ids array<int>" * lists, prepare, prefix)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,8 +199,8 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, redacted: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns in keep, spans array<struct<kind,start,end>>; with redacted also the text without its secrets."""
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, redacted: bool = False, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """id_col, the columns in keep, and after prefix spans array<struct<kind,start,end>>; with redacted also the text without its secrets."""
 
     def prepare():
         scanner = Scanner(rules)
@@ -215,7 +215,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
 
         return work
 
-    return append_columns(df, [id_col, *keep], text_col, f"spans {SPANS}" + ", redacted string" * redacted, prepare)
+    return append_columns(df, [id_col, *keep], text_col, f"spans {SPANS}" + ", redacted string" * redacted, prepare, prefix)
 
 
 def joined(spans) -> F.Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factmill.llm.common import append_columns, crc_mod, keyed, read
+from factmill.llm.common import append_columns, crc_mod, hash_sample, keyed, read
 from factmill.llm.decontaminate import WORDS
 
 PER_LABEL, FIT_CHARS = 1200, 50_000
@@ -177,13 +177,13 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Index:
-    """Fit on a bounded sample: ids by narrow columns first (the limit per label applies before the shuffle), then their
-    texts by a broadcast join with those at most 2 * per_label * 4 ids."""
+    """Fit on a bounded sample: ids by narrow columns first, then their texts by a broadcast join with at most
+    2 * 4 * per_label ids."""
     y = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("k is not null and y in (0, 1)")
     n = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
     # Four times as many ids as texts, as labelled rows need not have a text of the right length.
-    top = y.distinct().withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))).filter(F.col("r") <= 4 * per_label)
+    top = hash_sample(y, "y", "k", 4 * per_label).withColumnRenamed("place", "r")
     rows = keyed(docs, k=id_col, t=text_col).filter(F.length("t") <= FIT_CHARS)
     ids = rows.select("k").join(F.broadcast(top), "k").dropDuplicates(["k", "y"])
     ids = ids.withColumn("q", F.row_number().over(Window.partitionBy("y").orderBy("r"))).filter(F.col("q") <= per_label).select("k", "y")
