@@ -150,8 +150,17 @@ def test_secrets_on_odd_texts():
 
 def test_trigram_queries_are_mandatory():
     assert secret_scan.trigram_query("[0-9a-f]{16,}") is True and secret_scan.trigram_query("a.c|xyz") is True
-    assert secret_scan.trigram_query("abcd?e+fg") == ("and", (b"abc",)) or secret_scan.trigram_query("abcd?e+fg")
-    pem = secret_scan.Scanner(secret_scan.RULES).scan(["x -----BEGIN RSA PRIVATE KEY----- y ghp_" + "a1" * 20])[0]
+
+    def holds(query, s):
+        if query is True or isinstance(query, bytes):
+            return query is True or query in s
+        return (all if query[0] == "and" else any)(holds(q, s) for q in query[1])
+
+    for pattern, matches in {"abcd?e+fgh": ["abcefgh", "abcdeefgh"], "(?:foo|ba+r)[xy]zz": ["fooxzz", "baaaryzz"], "(?i)(key|pass)word=[0-9]+": ["KEYword=1", "passWORD=22"]}.items():
+        query = secret_scan.trigram_query(pattern)
+        assert query is not True and all(re.fullmatch(pattern, m) and holds(query, m.lower().encode()) for m in matches)
+        assert not holds(query, b"nothing of it")
+    pem = secret_scan.Scanner(secret_scan.RULES).scan(["x -----BEGIN RSA PRIVATE KEY----- y ghp_" + "Zq9" * 13])[0]
     assert [k for k, _, _ in pem] == ["pem", "forge"]
 
 
