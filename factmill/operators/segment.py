@@ -24,15 +24,12 @@ def keeps_paragraph(c: T.ColumnLike) -> Column:
 
 
 def lines(books: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per line with its number from 0 and the offset of its first character. Offsets are running sums within a
-    book's own array, so no shuffle is needed."""
-    split = books.withColumn("_lines", F.split(F.col(text_col), "\n"))
-    ends = F.aggregate(
-        "_lines", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1))
-    )
-    zipped = F.arrays_zip("_lines", F.slice(ends, F.lit(1), F.size("_lines")).alias("o"))
-    rows = T.unnest(split, zipped, "line_no", "_z", [c for c in books.columns if c != text_col])
-    return rows.select("*", F.col("_z._lines").alias("line"), F.col("_z.o").alias("off")).drop("_z")
+    """One row per line with its number from 0 and the offset of its first character; the other columns tell books apart.
+    Offsets are running sums over a book's lines: a window, as array functions would take quadratic time in a long book."""
+    keys = [c for c in books.columns if c != text_col]
+    rows = T.unnest(books, F.split(F.col(text_col), "\n"), "line_no", "line", keys)
+    before = F.sum((F.length("line") + 1).cast("long")).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("off", F.coalesce(before, F.lit(0).cast("long")))
 
 
 def split_chapters(book_lines: DataFrame, book: str = "book_id") -> DataFrame:

@@ -12,6 +12,7 @@ from factmill.functions import text as T
 from factmill.operators import exam, facts, segment, train
 from factmill.operators import terms as X
 from factmill.plans import sqltext as S
+from factmill.session import spread
 from factmill.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +34,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "lang")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
 
 
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "factmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,3 +14,9 @@ def session(name: str = "factmill", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.enabled": "false",
     }
     return builder.config(map=settings | conf).getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that lies in fewer partitions than there are cores, dealt to all of them; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
