@@ -618,6 +618,26 @@ def pad_and_mask(spark, d):
     return out.select("doc_id", "batch", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
+@query("""
+WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\S+'), lambda x: CAST(('0x' || md5(x)[1:8])::BIGINT % 50000 AS INTEGER)) AS ids FROM documents),
+c AS (SELECT doc_id, doc_id // 8 AS batch, ids, unnest(generate_series(0, (len(ids) - 1) // 512)) AS piece FROM w WHERE len(ids) > 0),
+e AS (SELECT doc_id, batch, piece, ids[piece * 512 + 1:piece * 512 + 512] AS input_ids FROM c),
+k AS (SELECT *, len(input_ids) // 2 AS n, max(len(input_ids)) OVER (PARTITION BY batch) AS top FROM e)
+SELECT doc_id, batch, piece, array_to_string(list_concat(input_ids, list_transform(generate_series(1, top - len(input_ids)), lambda x: 0)), ' ') AS input_ids,
+  array_to_string(list_concat(list_transform(input_ids, lambda x: 1), list_transform(generate_series(1, top - len(input_ids)), lambda x: 0)), ' ') AS attention_mask,
+  array_to_string(list_concat(list_concat(list_transform(generate_series(1, n), lambda x: -100), input_ids[n + 1:]), list_transform(generate_series(1, top - len(input_ids)), lambda x: -100)), ' ') AS labels FROM k
+""")
+def pad_and_mask_whole(spark, d):
+    """Whole texts: consecutive pieces of max_length words, so that nothing is cut; the first half of a piece is its prompt.
+    Batches of eight documents."""
+    pieces = T.let(train.word_ids("text"), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / 512).cast("int")), lambda k: F.when(F.size(w) > 0, F.slice(w, k * 512 + 1, 512))))
+    rows = T.unnest(docs(spark, d).withColumn("batch", F.floor(F.col("doc_id") / 8)), pieces, "piece", "ids", ["doc_id", "batch"]).filter("ids is not null")
+    half = F.floor(F.size("ids") / 2).cast("int")
+    rows = rows.withColumn("p", F.slice("ids", F.lit(1), half)).withColumn("a", F.slice("ids", half + 1, F.size("ids")))
+    out = train.pad_batches(train.mask_labels(rows, "p", "a").select("doc_id", "batch", "piece", "input_ids", "attention_mask", "labels"), "batch", 0)
+    return out.select("doc_id", "batch", F.col("piece").cast("long").alias("piece"), *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
 # --- incremental work
 
 DONE_SQL = """
