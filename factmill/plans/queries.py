@@ -507,6 +507,32 @@ def blind_items(spark, d):
     return exam.visible(exam.blind(_records(spark, d)))
 
 
+def _lines(sql: bool, k: int):
+    """The k-th third of a text's lines, 0 to 2."""
+    if sql:
+        return f"array_to_string(ls[{k} * step + 1:{k + 1} * step], chr(10))"
+    return F.array_join(F.slice("ls", F.lit(k) * F.col("step") + 1, F.col("step")), "\n")
+
+
+WHOLE_BLIND_SQL = "WITH " + BLIND_SQL.replace("records AS (", f"""parted AS (SELECT *, CAST(ceil(len(ls) / 3) AS BIGINT) AS step FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents)),
+records AS (""", 1).replace("FROM documents d", "FROM parted d").replace("d.text[1:60]", _lines(True, 0)).replace("d.text[61:90]", _lines(True, 1)).replace("d.text[31:60]", "d.text").replace(
+    "CASE WHEN d.doc_id % 10 = 0 THEN '' ELSE d.text[1:30] END", _lines(True, 2))
+
+
+def _whole_records(spark, d) -> DataFrame:
+    """_records() with whole texts: a text's lines in thirds are question, reference and answer, its passage is all of it."""
+    parts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("question_id"), "text", F.split("text", "\n").alias("ls"))
+    parts = parts.withColumn("step", F.ceil(F.size("ls") / 3).cast("int"))
+    parts = parts.select("question_id", "text", *[_lines(False, k).alias(c) for k, c in enumerate(("question", "reference_answer", "model_answer"))])
+    rows = _records(spark, d).drop("question", "reference_answer", "model_answer", "passage").join(parts, "question_id")
+    return rows.withColumn("passage", F.when(F.col("question_id").cast("long") % 4 == 0, F.col("text")).otherwise("")).drop("text")
+
+
+@query(f"{WHOLE_BLIND_SQL} SELECT id, set, question, expected, passage, answer FROM blinded")
+def blind_items_whole(spark, d):
+    return exam.visible(exam.blind(_whole_records(spark, d)))
+
+
 JUDGED_SQL = BLIND_SQL + """,
 scores AS (SELECT id, ('0x' || md5(id || 'correct')[1:4])::INTEGER / 65535.0::DOUBLE AS c, ('0x' || md5(id || 'made_up')[1:4])::INTEGER / 65535.0::DOUBLE AS m, ('0x' || md5(id || 'refusal')[1:4])::INTEGER / 65535.0::DOUBLE AS r FROM blinded),
 judged AS (SELECT id, CASE WHEN r >= 0.5 THEN 'refusal' WHEN c >= 0.5 THEN 'correct' WHEN m >= 0.5 THEN 'made_up' ELSE 'wrong' END AS label FROM scores),

@@ -13,3 +13,11 @@ def test_every_word_is_in_an_example(spark, small):
         got[r.doc_id] = got.get(r.doc_id, 0) + mask.count("1")
         assert any(x != "-100" for x in labels)
     assert max(words.values()) > 512 and got == {k: n for k, n in words.items() if n}
+
+
+def test_blind_items_hold_whole_texts(spark, small):
+    texts = sorted(r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect())
+    got = []
+    for r in entry.queries()["blind_items_whole"](spark, small).collect():
+        got.append("\n".join([r.question, r.expected, "" if r.answer == "(no answer)" else r.answer]).rstrip("\n"))
+    assert max(map(len, texts)) > 90 and sorted(got) == sorted(t.rstrip("\n") for t in texts)
