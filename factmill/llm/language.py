@@ -4,7 +4,8 @@ A text is the vector of its byte n-grams (one to three bytes, ASCII letters lowe
 letter taken as a space) over a vocabulary that the sample chooses, weighted by 1 + log of the count and by inverse document
 frequency, and normalised. Spherical k-means clusters the sample of each language into several centroids. The prediction
 is the language of the centroid of highest cosine. A text is rejected if its cosine is below the distance limit of that
-centroid, which follows from the cosines of the centroid's own sample, or if it has no letter (und).
+language's centroids, a low quantile of the cosines of its sample's texts with the mean of the others in their cluster, or
+if it has no letter (und).
 
 The model is fitted on at most PER_LANGUAGE texts of each of at most LANGUAGES languages, those of smallest id hash, none
 longer than FIT_CHARS; document frequencies of the sample are all the statistics there are. Everything else covers all rows.
@@ -29,8 +30,12 @@ from factmill.llm.common import append_columns, crc_mod, hash_sample, keyed, rea
 PER_LANGUAGE, LANGUAGES, FIT_CHARS = 300, 100, 50_000
 VOCABULARY = 3000
 CENTROIDS = 3
-#: A text is rejected below this share of the lowest cosine among the centroid's own sample.
-REJECT_SHARE = 0.25
+#: A text is rejected below this quantile of the cosines of its language's sample. One limit for all clusters of a language,
+#: since short texts, which have low cosines, gather in one of them; languages with fewer than two
+#: texts below the quantile share that of all samples.
+REJECT_QUANTILE = 0.01
+#: A cluster has at least this share of the sample of its language, so that no outlier is a centroid.
+LEAST_SHARE = 0.1
 _BATCH_BYTES = 2 << 20
 
 # ASCII letters in lower case and all bytes beyond ASCII stay; whatever else stands becomes a space.
@@ -71,34 +76,51 @@ class Model:
         x = np.concatenate([v for v, _ in self.vectors(texts)]) if texts else np.zeros((0, len(self.codes)))
         self.centroids, self.owner, self.limit = [], [], []
         langs_ = np.array(langs)
+        near: list[np.ndarray] = []
         for i, lang in enumerate(self.langs):
             own = x[langs_ == lang]
             own = own[np.linalg.norm(own, axis=1) > 0]
-            for c, near in self._cluster(own, k):
+            for c, cos in self._cluster(own, k):
                 self.centroids.append(c)
                 self.owner.append(i)
-                self.limit.append(REJECT_SHARE * near)
+                near.append(cos)
+        every = np.concatenate(near) if near else np.zeros(0)
+        for i in self.owner:
+            own = np.concatenate([cos for j, cos in zip(self.owner, near, strict=True) if j == i])
+            own = own if len(own) * REJECT_QUANTILE >= 2 else every
+            self.limit.append(float(np.quantile(own, REJECT_QUANTILE)) - 1e-6 if len(own) > 1 else 0.0)
         self.centroids = np.array(self.centroids).reshape(-1, len(self.codes))
         self.owner, self.limit = np.array(self.owner, int), np.array(self.limit)
 
     @staticmethod
-    def _cluster(x: np.ndarray, k: int) -> list[tuple[np.ndarray, float]]:
-        """Centroids of spherical k-means, begun at the text nearest to the mean and then always the farthest one, and the
-        lowest cosine of each centroid's texts."""
+    def _cluster(x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Centroids of spherical k-means and the cosines of their texts. It begins at the text nearest to the mean and then always at the
+        farthest one but for as many as a cluster needs at least; clusters that get too small are dissolved."""
         if not len(x):
             return []
-        first = int((x @ x.mean(0)).argmax())
-        c = [x[first]]
-        while len(c) < min(k, len(x)):
-            c.append(x[int((x @ np.array(c).T).max(1).argmin())])
+        least = max(2, int(np.ceil(LEAST_SHARE * len(x))))
+        c = [x[int((x @ x.mean(0)).argmax())]]
+        while len(c) < k and len(x) >= least * (len(c) + 1):
+            c.append(x[int(np.argsort((x @ np.array(c).T).max(1), kind="stable")[least - 1])])
         c = np.array(c)
-        for _ in range(10):
-            own = (x @ c.T).argmax(1)
-            c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))])
-            c /= np.linalg.norm(c, axis=1, keepdims=True)
-        cos = x @ c.T
-        own = cos.argmax(1)
-        return [(c[j], float(cos[own == j, j].min())) for j in range(len(c)) if (own == j).any()]
+        while True:
+            for _ in range(10):
+                own = (x @ c.T).argmax(1)
+                c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))])
+                c /= np.linalg.norm(c, axis=1, keepdims=True)
+            size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+            if len(c) == 1 or size.min() >= least:
+                break
+            c = np.delete(c, size.argmin(), 0)
+        own = (x @ c.T).argmax(1)
+        return [(c[j], Model._cosines(x[own == j])) for j in range(len(c))]
+
+    @staticmethod
+    def _cosines(x: np.ndarray) -> np.ndarray:
+        """The cosines of a cluster's texts with the mean of the others."""
+        rest = x.sum(0) - x
+        norm = np.linalg.norm(rest, axis=1)
+        return (x * rest).sum(1) / np.where(norm > 0, norm, 1)
 
     @staticmethod
     def bytes_of(text: str) -> bytes:
