@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that goes to Python; whole texts may be long, so this is far below Spark's default.
@@ -32,9 +33,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one is made in
+    local mode (tests); a cluster has to name one, as its executors would not see a folder of the driver's machine."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="factmill-")
         spark.conf.set("spark.checkpoint.dir", given)
     if not spark.sparkContext.getCheckpointDir():
@@ -47,6 +51,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factmill-{name}-{uuid.uuid4().hex}"
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if m := re.match(r"file:/*(/.*)", path):
+        return pafs.LocalFileSystem(), m[1]
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def remove(path: str) -> None:
+    """Delete a folder of the shared folder and all that is in it."""
+    system, base = file_system(path)
+    if system.get_file_info(base).type == pafs.FileType.Directory:
+        system.delete_dir(base)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
@@ -119,18 +137,53 @@ def keyed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[c].alias(k) for k, c in columns.items()])
 
 
-def hash_sample(ids: DataFrame, group: str, key: str, per_group: int, groups: int = 100) -> DataFrame:
-    """group, key and place (from 1) of at most per_group distinct keys of each of the groups largest groups, those of
-    smallest hash. A bound on the hash from the group's size lets about four times as many rows through, before any shuffle
-    and however large a group is, so what is sorted has a fixed size."""
-    counts = ids.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(groups).collect()
-    top = (1 << 63) - 1
-    kind = ids.schema[group].dataType.simpleString()
-    bounds = ids.sparkSession.createDataFrame([(r[group], min(top, int(4.0 * per_group / r["n"] * 2.0**62) * 2)) for r in counts], f"{group} {kind}, _most long")
-    rows = ids.select(group, key).withColumn("_h", F.xxhash64(key).bitwiseAND(F.lit(top))).join(F.broadcast(bounds), group)
-    rows = rows.filter(F.col("_h") <= F.col("_most")).dropDuplicates([group, key])
-    place = F.row_number().over(Window.partitionBy(group).orderBy("_h", key))
-    return rows.withColumn("place", place).filter(F.col("place") <= per_group).select(group, key, "place")
+def hash_sample(
+    rows: DataFrame,
+    group: str,
+    key: str,
+    per_group: int,
+    total: int,
+    chars: int,
+    sized: Callable[[DataFrame], DataFrame] | None = None,
+) -> list[tuple]:
+    """group and key of at most per_group distinct keys of every group, those of smallest hash.
+
+    There are at most about total keys in all (but one of each group), and their texts have at most chars characters in all
+    (but a first one of each group); both are dealt to the groups alike. rows has the characters of a key's text as n, or
+    sized() adds them to found keys (group, key, h) and drops those that cannot be used. A bound on the hash, from the
+    number of a group's distinct keys, lets about four times as many keys through as are wanted, however often a key is
+    repeated; where too few are usable it is raised until enough come or the group is taken whole. What comes to the
+    driver is a row for each group and those few keys.
+    """
+    spark, top = rows.sparkSession, (1 << 63) - 1
+    kind = rows.schema[group].dataType.simpleString()
+    counts = {r[0]: r[1] for r in rows.groupBy(group).agg(F.approx_count_distinct(key)).collect()}
+    per = max(1, min(per_group, total // max(1, len(counts))))
+    budget = chars // max(1, len(counts))
+    share = {g: 4.0 * per / max(1, n) for g, n in counts.items()}
+    taken: list[tuple] = []
+    while share:
+        bounds = spark.createDataFrame([(g, min(top, int(min(1.0, x) * 2.0**62) * 2)) for g, x in share.items()], f"{group} {kind}, _most long")
+        found = rows.withColumn("h", F.xxhash64(key).bitwiseAND(F.lit(top))).join(F.broadcast(bounds), group).filter("h <= _most or _most >= 9223372036854775806")
+        if sized is None:
+            found = found.groupBy(group, key, "h").agg(F.max("n").alias("n"))
+        else:
+            found = sized(found.select(group, key, "h").distinct())
+        own: dict = {g: [] for g in share}
+        for r in found.select(group, key, "h", "n").collect():
+            own[r[0]].append((r[2], str(r[1]), r[1], r[3]))
+        for g, keys in own.items():
+            if len(keys) < per and share[g] < 1:
+                share[g] *= 8
+                continue
+            del share[g]
+            spent = 0
+            for at, (_, _, k, n) in enumerate(sorted(keys, key=lambda x: x[:2])[:per]):
+                spent += n
+                if at and spent > budget:
+                    break
+                taken.append((g, k))
+    return taken
 
 
 def crc_mod(doc_id: str | F.Column, n: int):

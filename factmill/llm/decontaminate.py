@@ -8,27 +8,34 @@ lanes that overlap by one window, and all lanes move at once: each step looks up
 skipped just as in the scalar search, and only lanes whose shift is 0 compare words. Windows of one word have a table of
 their own words.
 
-The tables hold at most MOST_WINDOWS windows at a time; a larger benchmark is dealt to several passes whose hits are
-merged per document, so what is broadcast has a fixed bound.
+Tasks over the benchmark write the tables, as packed arrays of at most MOST_WINDOWS windows each, to the shared folder;
+nothing of it passes through the driver but their names. A larger benchmark makes several tables. Every batch of texts is
+searched with one after another, and its hits are united in the batch, so no pass needs a join; a worker holds at most
+HELD tables and, if there are more, loads each again for every batch.
 
 Defined results: a null, empty or blank text has no words and no hits; an empty benchmark hits nothing; items without
-words are left out; repeated items count as one item_id; repeated documents stay rows; other columns are left out.
+words are left out; repeated items count as one item_id; an item without an id marks words but is not listed; repeated
+documents stay rows, each with its own hits; other columns are left out.
 """
 
 from __future__ import annotations
 
-import hashlib
+import io
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.llm.common import append_columns, keyed, read
+from factmill.llm.common import append_columns, bound_batches, file_system, read, shared_path
 
 WINDOW = 13
-#: Windows in one pass, and so in one broadcast: about 13 * 8 bytes of words and 8 of table each.
+#: Windows in one table: at most 13 * 4 bytes of words and 160 of shifts and buckets for each, and its items.
 MOST_WINDOWS = 500_000
+#: Tables that a worker keeps in memory.
+HELD = 4
 LANE = 512
 _EMPTY = np.zeros(0, np.int64)
 
@@ -50,20 +57,23 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]
 class PatternSet:
     """Windows of one length as rows of word numbers, with their shift table and suffix buckets."""
 
-    def __init__(self, rows: np.ndarray, vocabulary: int):
-        self.rows = rows = np.unique(rows, axis=0)
+    def __init__(self, rows: np.ndarray, shift: np.ndarray | None = None, starts: np.ndarray | None = None):
         self.m = m = rows.shape[1]
         self.block = min(2, m)
+        if shift is not None:
+            self.rows, self.shift, self.starts = rows, shift, starts
+            self.bits = len(shift).bit_length() - 1
+            return
         self.bits = max(12, int(2 * len(rows) * m).bit_length())
         default = m - self.block + 1
-        self.shift = np.full(1 << self.bits, default, np.int32)
+        self.shift = np.full(1 << self.bits, default, np.int8 if m < 128 else np.int32)
         for end in range(self.block - 1, m):
             at = self.hash(rows[:, end - 1] if self.block == 2 else rows[:, end], rows[:, end])
             np.minimum.at(self.shift, at, m - 1 - end)
         last = self.hash(rows[:, -2] if self.block == 2 else rows[:, -1], rows[:, -1])
-        order = np.argsort(last, kind="stable")
-        self.rows = rows[order]
-        self.starts = np.searchsorted(last[order], np.arange((1 << self.bits) + 1))
+        self.order = np.argsort(last, kind="stable")
+        self.rows = rows[self.order].astype(np.int32)
+        self.starts = np.searchsorted(last[self.order], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -108,7 +118,7 @@ class PatternSet:
 
 
 class Patterns:
-    """All windows of some items: their word numbers, a pattern set for each length, and the items of each window."""
+    """A table: numbers of its words, a pattern set for each window length, and the items of each window."""
 
     def __init__(self, windows: dict[tuple[bytes, ...], list[int]]):
         self.number: dict[bytes, int] = {}
@@ -117,34 +127,76 @@ class Patterns:
             by_length.setdefault(len(w), []).append(w)
             for word in w:
                 self.number.setdefault(word, len(self.number) + 1)
-        self.sets, self.items = [], []
+        self.sets: list[PatternSet] = []
+        self.items: list[tuple[np.ndarray, np.ndarray]] = []
         for group in by_length.values():
-            rows = np.array([[self.number[word] for word in w] for w in group], np.int64)
-            s = PatternSet(rows, len(self.number))
-            own = {tuple(r): windows[w] for r, w in zip(rows.tolist(), group, strict=True)}
+            s = PatternSet(np.array([[self.number[word] for word in w] for w in group], np.int64))
+            owners = [sorted({i for i in windows[group[r]] if i is not None}) for r in s.order.tolist()]
             self.sets.append(s)
-            self.items.append([own[tuple(r)] for r in s.rows.tolist()])
-
-    def search(self, texts: list[str]) -> list[tuple[int, np.ndarray, np.ndarray, list[int]]]:
-        """For each text its number of words, the starts and ends of its hit ranges, and its items."""
-        numbers, sizes = [], []
+            self.items.append((np.cumsum([0, *map(len, owners)]).astype(np.int64), np.array([i for o in owners for i in o], np.int64)))
+
+    def packed(self) -> bytes:
+        """All of it as the bytes of an archive of arrays."""
+        words = list(self.number)
+        arrays = {"words": np.frombuffer(b" ".join(words), np.uint8)}
+        for k, (s, (ends, ids)) in enumerate(zip(self.sets, self.items, strict=True)):
+            arrays |= {f"{n}_{k}": x for n, x in (("rows", s.rows), ("shift", s.shift), ("starts", s.starts), ("ends", ends), ("ids", ids))}
+        out = io.BytesIO()
+        np.savez(out, **arrays)
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Patterns:
+        own = cls({})
+        with np.load(io.BytesIO(raw)) as z:
+            own.number = {w: i + 1 for i, w in enumerate(z["words"].tobytes().split())}
+            for k in range((len(z.files) - 1) // 5):
+                own.sets.append(PatternSet(z[f"rows_{k}"], z[f"shift_{k}"], z[f"starts_{k}"]))
+                own.items.append((z[f"ends_{k}"], z[f"ids_{k}"]))
+        return own
+
+    def hits(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """Text, start, end and items of every occurrence of a window in texts of words."""
         get = self.number.get
-        for t in texts:
-            w = words_of(t)
-            numbers.append(np.fromiter((get(x, -1) for x in w), np.int64, len(w)))
-            sizes.append(len(w))
         gap = np.zeros(1, np.int64)
-        x = np.concatenate([y for n in numbers for y in (n, gap)]) if numbers else gap
-        begin = np.cumsum([0, *(s + 1 for s in sizes)])[:-1]
-        hits: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[int]] = [set() for _ in texts]
-        for s, owners in zip(self.sets, self.items, strict=True):
+        x = np.concatenate([y for w in texts for y in (np.fromiter((get(v, -1) for v in w), np.int64, len(w)), gap)] or [gap])
+        begin = np.cumsum([0, *(len(w) + 1 for w in texts)])[:-1]
+        for s, (ends, ids) in zip(self.sets, self.items, strict=True):
             starts, rows = s.search(x)
-            text = np.searchsorted(begin, starts, "right") - 1
-            for i, a, r in zip(text.tolist(), (starts - begin[text]).tolist() if len(starts) else [], rows.tolist(), strict=True):
-                hits[i].append((a, a + s.m))
-                items[i].update(owners[r])
-        return [(n, *merged(h), sorted(t)) for n, h, t in zip(sizes, hits, items, strict=True)]
+            if len(starts):
+                text = np.searchsorted(begin, starts, "right") - 1
+                for i, a, r in zip(text.tolist(), (starts - begin[text]).tolist(), rows.tolist(), strict=True):
+                    yield i, a, a + s.m, ids[ends[r] : ends[r + 1]]
+
+
+class Searcher:
+    """The tables of a benchmark: those given, or loaded from files when they are needed."""
+
+    def __init__(self, tables: Iterable[Patterns | str]):
+        self.tables = list(tables)
+        self.held: dict[str, Patterns] = {}
+
+    def _table(self, t: Patterns | str) -> Patterns:
+        if isinstance(t, Patterns):
+            return t
+        if (own := self.held.get(t)) is None:
+            system, path = file_system(t)
+            with system.open_input_file(path) as f:
+                own = Patterns.unpacked(f.read())
+            if len(self.held) < HELD:
+                self.held[t] = own
+        return own
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, list[int], list[int], list[int]]]:
+        """For each text its number of words, the starts and ends of its hit ranges, and its items."""
+        words = [words_of(t) for t in texts]
+        ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set[int]] = [set() for _ in texts]
+        for t in self.tables:
+            for i, a, b, ids in self._table(t).hits(words):
+                ranges[i].append((a, b))
+                items[i].update(ids.tolist())
+        return [(len(w), *merged(r), sorted(x)) for w, r, x in zip(words, ranges, items, strict=True)]
 
 
 def merged(ranges: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -159,17 +211,37 @@ def merged(ranges: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def passes(benchmark: DataFrame, id_col: str, text_col: str, size: int, most: int):
-    """Windows with their items, at most so many at a time; items come one by one."""
-    windows: dict[tuple[bytes, ...], list[int]] = {}
-    for r in keyed(benchmark, i=id_col, t=text_col).toLocalIterator():
-        for w in windows_of(words_of(r["t"]), size):
-            windows.setdefault(w, []).append(r["i"])
-        if len(windows) >= most:
-            yield windows
-            windows = {}
-    if windows:
-        yield windows
+def write_tables(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW, most: int = MOST_WINDOWS) -> list[str]:
+    """Write the tables of a benchmark to the shared folder; returns their files. A task that is repeated writes files of
+    other names, and only those of tasks that ended well are used."""
+    folder = shared_path(benchmark.sparkSession, "windows")
+    bound_batches(benchmark.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(folder)
+        held: dict[tuple[bytes, ...], list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            system.create_dir(base, recursive=True)
+            name = uuid.uuid4().hex
+            with system.open_output_stream(f"{base}/{name}", compression=None) as f:
+                f.write(Patterns(held).packed())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        for batch in batches:
+            for i, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                for w in windows_of(words_of(text), size):
+                    held.setdefault(w, []).append(i)
+                    if len(held) >= most:
+                        yield flush()
+        if held:
+            yield flush()
+
+    rows = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    parts = -(-(rows.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0) // (8 * most))  # of eight characters a word
+    names = rows.coalesce(max(1, int(parts))).mapInArrow(run, "name string").collect()
+    return sorted(f"{folder}/{r['name']}" for r in names)
 
 
 HITS = "n_words long, starts array<int>, ends array<int>, items array<long>"
@@ -177,54 +249,19 @@ HITS = "n_words long, starts array<int>, ends array<int>, items array<long>"
 
 def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), size: int = WINDOW, most_windows: int = MOST_WINDOWS, prefix: str = "") -> DataFrame:
     """id_col, the columns in keep, and after prefix n_words, the ranges of hit words (starts, ends) and the items that occur."""
-    spark = df.sparkSession
-    tables = [spark.sparkContext.broadcast(w) for w in passes(benchmark, item_id, item_text, size, most_windows)]
-    tables = tables or [spark.sparkContext.broadcast({})]
-    columns = list(dict.fromkeys([id_col, *keep]))
-
-    def one(table) -> DataFrame:
-        def prepare():
-            patterns = Patterns(table.value)
-
-            def work(texts):
-                rows = patterns.search(texts)
-                kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-                return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-
-            return work
-
-        return append_columns(df, columns, text_col, HITS, prepare, prefix)
-
-    return one(tables[0]) if len(tables) == 1 else _merge_passes(tables, one, columns, prefix)
-
-
-def _merge_passes(tables: list, one, columns: list[str], p: str) -> DataFrame:
-    """Later passes give only the rows that they hit; their ranges are joined to those of the first pass. Rows are told
-    apart by all that is returned with them and their number of words, so copies of a row share their ranges, rightly
-    unless two texts of one id and one length go without their text column."""
-    range_ = "array<struct<starts:int,ends:int>>"
-    key = F.struct(*[F.col(f"`{c}`") for c in columns], f"{p}n_words")
-    mark = p + "row_key"
-    first = one(tables[0]).withColumn(mark, F.sha2(F.to_json(key), 256))
-    rest = None
-    for t in tables[1:]:
-        part = one(t).filter(F.size(f"{p}items") > 0).select(F.sha2(F.to_json(key), 256).alias(mark), F.arrays_zip(f"{p}starts", f"{p}ends").cast(range_).alias(f"{p}r"), F.col(f"{p}items").alias(f"{p}i"))
-        rest = part if rest is None else rest.union(part)
-    rest = rest.groupBy(mark).agg(F.flatten(F.collect_set(f"{p}r")).alias(f"{p}r2"), F.flatten(F.collect_set(f"{p}i")).alias(f"{p}i2"))
-    both = first.join(rest, mark, "left")
-    ranges = F.array_sort(F.concat(F.arrays_zip(f"{p}starts", f"{p}ends").cast(range_), F.coalesce(f"{p}r2", F.array().cast(range_))))
-    grown = lambda acc, x: F.struct(F.try_element_at(acc, F.lit(-1))["starts"].alias("starts"), F.greatest(F.try_element_at(acc, F.lit(-1))["ends"], x["ends"]).alias("ends"))
-    joined = F.aggregate(
-        ranges,
-        F.array().cast(range_),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["ends"] >= x["starts"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown(acc, x)))
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    items = F.array_sort(F.array_distinct(F.concat(f"{p}items", F.coalesce(f"{p}i2", F.array().cast("array<bigint>")))))
-    both = both.withColumn(f"{p}ranges", joined)
-    ranges = F.col(f"{p}ranges")
-    return both.select(*[F.col(f"`{c}`") for c in columns], f"{p}n_words", ranges["starts"].alias(f"{p}starts"), ranges["ends"].alias(f"{p}ends"), items.alias(f"{p}items"))
+    names = write_tables(benchmark, item_id, item_text, size, most_windows)
+
+    def prepare():
+        searcher = Searcher(names)
+
+        def work(texts):
+            rows = searcher.search(texts)
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+
+        return work
+
+    return append_columns(df, dict.fromkeys([id_col, *keep]), text_col, HITS, prepare, prefix)
 
 
 def verdict(p: str = "") -> tuple[F.Column, F.Column]:

@@ -7,12 +7,13 @@ is the language of the centroid of highest cosine. A text is rejected if its cos
 language's centroids, a low quantile of the cosines of its sample's texts with the mean of the others in their cluster, or
 if it has no letter (und).
 
-The model is fitted on at most PER_LANGUAGE texts of each of at most LANGUAGES languages, those of smallest id hash, none
-longer than FIT_CHARS; document frequencies of the sample are all the statistics there are. Everything else covers all rows.
+The model is fitted on at most PER_LANGUAGE distinct ids of every language, those of smallest hash, and no text longer than
+FIT_CHARS; beyond SAMPLE_TEXTS texts or SAMPLE_CHARS characters in all, every language gets fewer, but never none. Document
+frequencies of the sample are all the statistics there are. Everything else covers all rows.
 
 Defined results: null texts and texts without a letter are und with score 0, and are rejected; without learned languages
-every text is und; repeated rows give repeated results; equal cosines go to the first language in alphabetical order;
-other columns are left out.
+every text is und; repeated rows give repeated results and count once in the sample; of several texts of one id and
+language the smallest is taken; equal cosines go to the first language in alphabetical order; other columns are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from factmill.llm.common import append_columns, crc_mod, hash_sample, keyed, read
 
 #: Bounds of the sample.
-PER_LANGUAGE, LANGUAGES, FIT_CHARS = 300, 100, 50_000
+PER_LANGUAGE, FIT_CHARS = 300, 50_000
+SAMPLE_TEXTS, SAMPLE_CHARS = 6000, 64_000_000
 VOCABULARY = 3000
 CENTROIDS = 3
 #: A text is rejected below this quantile of the cosines of its language's sample. One limit for all clusters of a language,
@@ -69,7 +71,12 @@ class Model:
                 counts[code] = counts.get(code, 0) + 1
                 own[code] = own.get(code, 0) + 1
         # The n-grams that are in the largest share of the texts of some language.
-        share = {c: max(per_lang[x].get(c, 0) / max(1, langs.count(x)) for x in self.langs) for c, n in counts.items() if n > 1}
+        of = {x: langs.count(x) for x in self.langs}
+        share: dict[int, float] = {}
+        for x, own in per_lang.items():
+            for c, n in own.items():
+                if counts[c] > 1:
+                    share[c] = max(share.get(c, 0.0), n / of[x])
         chosen = sorted(share, key=lambda c: (-share[c], c))[:size]
         self.codes = np.array(sorted(chosen), np.int64)
         self.idf = np.array([np.log((1 + len(texts)) / (1 + counts[c])) + 1 for c in self.codes.tolist()])
@@ -152,7 +159,7 @@ class Model:
                         g = g if a + _BATCH_BYTES + 2 >= len(raw) else g[:_BATCH_BYTES]
                         p = self.place[g]
                         count[j] += np.bincount(p[p >= 0], minlength=n)
-            v = np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0) * self.idf
+            v = np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0) * self.idf.astype(np.float32)
             norm = np.linalg.norm(v, axis=1, keepdims=True)
             yield v / np.where(norm > 0, norm, 1), rows
 
@@ -172,14 +179,19 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, texts: int = SAMPLE_TEXTS) -> Model:
     """Fit on a bounded sample: first the sampled ids, from narrow columns, then their texts, by a broadcast join with those
-    at most languages * per_language ids."""
-    rows = keyed(docs, k=id_col, t=text_col, g=lang_col).filter("g is not null and t is not null")
-    top = hash_sample(rows.filter(F.length("t").between(1, FIT_CHARS) & F.col("t").rlike(r"\p{L}")), "g", "k", per_language, languages).select("k", "g")
-    got = rows.filter(F.length("t").between(1, FIT_CHARS)).join(F.broadcast(top), ["k", "g"]).select("k", "t", "g").collect()
+    at most texts ids (one a language at least)."""
+    rows = keyed(docs, k=id_col, t=text_col, g=lang_col).filter("k is not null and g is not null")
+    rows = rows.filter(F.length("t").between(1, FIT_CHARS) & F.col("t").rlike(r"\p{L}"))
+    ids = hash_sample(rows.select("g", "k", F.length("t").alias("n")), "g", "k", per_language, texts, SAMPLE_CHARS)
+    if not ids:
+        return Model([], [])
+    kinds = dict(rows.dtypes)
+    chosen = docs.sparkSession.createDataFrame(ids, f"g {kinds['g']}, k {kinds['k']}")
+    got = rows.join(F.broadcast(chosen), ["k", "g"]).groupBy("k", "g").agg(F.min("t").alias("t")).collect()
     got.sort(key=lambda r: (str(r["k"]), r["g"], r["t"]))
-    got = [r for r in got[: 2 * languages * per_language] if has_letter(r["t"])]
+    got = [r for r in got if has_letter(r["t"])]
     return Model([r["t"] for r in got], [r["g"] for r in got])
 
 

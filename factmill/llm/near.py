@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> s)
 
 
-def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(n, dtype=np.uint64)
     return mix(at * np.uint64(2) + np.uint64(1)) | np.uint64(1), mix(at * np.uint64(2) + np.uint64(1 << 40))
 
@@ -91,7 +91,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """doc, n (shingles), digest (of the set; null if it is empty), sig (packed 16-bit values), text_hash (of the text)."""
 
     def prepare():
-        shingler, (a, b) = Shingler(size), _multipliers(SYMBOLS)
+        shingler, (a, b) = Shingler(size), multipliers(SYMBOLS)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, digest, sig = [], [], []

@@ -6,7 +6,8 @@ every shard once. A tile is one block times one shard: a matrix product in doubl
 then a partial selection by a key that holds the score and, for ties, the place among rising ids. Each task merges its
 tiles, and the lists of a query are merged in a tree, eight at a time.
 
-Defined results: vectors that are null, or that hold null or non-finite components, and rows without an id take no part;
+Defined results: vectors that are null, or that hold components which are null or not finite (also after scaling, which
+takes doubles near their limit beyond it), and rows without an id take no part;
 vectors of unlike length don't meet; ties go to the smaller id; rows that repeat an id stay rows, and only a query's own
 row is left out; fewer than k candidates are all returned; products beyond 64 bits stop at the limits of a long.
 """
@@ -108,7 +109,8 @@ def pack(df: DataFrame, id_col: str, vec_col: str, rows: int, scale: int) -> Dat
             size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             start = np.cumsum(np.append(0, size))[:-1]
             good = np.ones(len(ids), bool)
-            bad = np.flatnonzero(~np.isfinite(flat))
+            with np.errstate(over="ignore"):
+                bad = np.flatnonzero(~np.isfinite(flat * scale))
             good[np.searchsorted(np.cumsum(size), bad, "right")] = False
             for dim in np.unique(size[good]).tolist():
                 r = np.flatnonzero(good & (size == dim))

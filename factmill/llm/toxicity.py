@@ -1,36 +1,49 @@
 """Toxicity by nearest labelled examples, with exact TF-IDF cosine over a block-max inverted index.
 
-Terms are whole words and their character 5-grams (with word ends), of which the sample chooses those whose presence
-depends most on the label (by chi-square); a text is the normalised vector of its terms' tf-idf. Labelled examples are
-sorted so that like ones lie together and cut into blocks. The index holds for each term its weights in every example and,
-for each block, the largest of them. A query's bound for a block is the product of its weights with those maxima; blocks
-are opened from the highest bound down, and never once the K best cosines found reach the next bound, so the K nearest
-examples are exact. Their votes, weighted by cosine, are mapped to a probability by isotonic regression on the examples
-themselves, each scored without itself and weighted by its label's true share. The nearest examples are the evidence.
-
-The examples are at most PER_LABEL rows of each label, those of smallest id hash among texts of at most FIT_CHARS; all
-other things cover all rows. What is broadcast has a fixed bound from that.
-
-Defined results: null, empty and blank texts, and texts without any chosen term, score as the examples without terms do;
-without labelled rows of both kinds every score is the share of label 1 (0 without any); repeated rows give repeated
-results; equal cosines go to the example with the smaller id; other columns are left out.
+Terms are whole words and their character 5-grams (with word ends). The vocabulary is that of the sample's terms which
+depend on the label: a chi-square test at ALPHA, corrected for the number of terms (and never fewer than LEAST_TERMS). A
+text is the normalised vector of its terms' tf-idf, (1 + log tf) * idf. Labelled examples are sorted so that like ones lie
+together and cut into blocks. The index has for each term its postings (example and weight), in block order, and for each
+of its blocks the largest weight. A query's bound for a block is the sum of its weights times those maxima, over its own
+terms; blocks are opened from the highest bound down, only their postings are read, and none is opened once the K best
+cosines found reach the next bound, so the K nearest examples are exact. Their votes, weighted by the fourth power of the
+cosine, are mapped to a probability by isotonic regression on the examples themselves, each scored without itself and
+weighted by its label's true share. The nearest examples are the evidence.
+
+The examples are at most PER_LABEL distinct ids of each label, those of smallest hash among texts of at most FIT_CHARS,
+and SAMPLE_CHARS characters in all; of near copies among them one is left, as a group of copies would else make its words
+look as if they depended on the label. All other things cover all rows. What is broadcast has a fixed bound from that.
+
+Defined results: null, empty and blank texts, and texts without any term of the vocabulary, score as the examples without
+terms do; without labelled rows of both kinds every score is the share of label 1 (0 without any); repeated rows give
+repeated results and count once in the sample; of several texts of one id the smallest is the example; equal cosines go
+to the example with the smaller id; other columns are left out.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factmill.llm import near
 from factmill.llm.common import append_columns, crc_mod, hash_sample, keyed, read
 from factmill.llm.decontaminate import WORDS
 
-PER_LABEL, FIT_CHARS = 1200, 50_000
-TERMS, GRAM = 1500, 5
-NEAREST = 15
+#: Bounds of the sample.
+PER_LABEL, FIT_CHARS, SAMPLE_CHARS = 2400, 50_000, 32_000_000
+#: Examples of a label that agree in half of so many MinHash values are near copies.
+VALUES = 64
+GRAM = 5
+#: Level of the test that chooses terms, and the least and largest vocabulary.
+ALPHA, LEAST_TERMS, MOST_TERMS = 0.01, 100, 20_000
+NEAREST = 31
+#: A neighbour's vote is its cosine to this power.
+POWER = 4
 BLOCK = 32
 THRESHOLD = 0.3
 TABLE_ROWS = 300_000
@@ -42,6 +55,19 @@ def terms_of(word: bytes) -> list[bytes]:
     return [w, *{w[i : i + GRAM] for i in range(len(w) - GRAM + 1)}] if len(w) > GRAM else [w]
 
 
+def dependent_terms(counts: dict[bytes, list[int]], n0: int, n1: int) -> list[bytes]:
+    """Terms, in at least 5 texts, whose presence depends on the label, by falling chi-square. counts: texts of either label."""
+    n, rank = n0 + n1, []
+    for t, (a, b) in counts.items():
+        m = a + b
+        if 5 <= m < n:
+            rank.append((-n * (b * n0 - a * n1) ** 2 / (m * (n - m) * n0 * n1), t))
+    rank.sort()
+    limit = NormalDist().inv_cdf(1 - ALPHA / max(1, len(rank)) / 2) ** 2
+    passed = sum(-x >= limit for x, _ in rank)
+    return [t for x, t in rank[: min(MOST_TERMS, max(passed, LEAST_TERMS))] if x < 0]
+
+
 class Index:
     def __init__(self, ids: list[int], texts: list[str], labels: list[int], share: float):
         """share: of label 1 among all labelled rows, of which the examples are a sample that may have another."""
@@ -51,12 +77,11 @@ class Index:
         self.fitted = bool(len(y)) and 0 < y.sum() < len(y)
         if not self.fitted:
             return
-        bags = [Counter(t.encode().translate(WORDS).split()) for t in texts]
         df: dict[bytes, list[int]] = {}
         memo: dict[bytes, list[bytes]] = {}
-        for bag, label in zip(bags, labels, strict=True):
+        for text, label in zip(texts, labels, strict=True):
             own: set[bytes] = set()
-            for w in bag:
+            for w in set(text.encode().translate(WORDS).split()):
                 if w not in memo:
                     memo[w] = terms_of(w)
                 own.update(memo[w])
@@ -64,36 +89,38 @@ class Index:
                 df.setdefault(t, [0, 0])[label] += 1
         del memo
         n1, n0 = int(y.sum()), int(len(y) - y.sum())
-        rank = []
-        for t, (a, b) in df.items():
-            if a + b < 5:
-                continue
-            p, q = b / n1, a / n0
-            mean = (a + b) / (n0 + n1)
-            if mean < 1:
-                rank.append((-((p - q) ** 2) / (mean * (1 - mean)), t))
-        rank.sort()
-        self.terms = {t: i for i, (_, t) in enumerate(rank[:TERMS])}
-        self.idf = np.array([np.log((1 + len(y)) / (1 + sum(df[t]))) + 1 for _, t in rank[:TERMS]], np.float64)
-        # A term weighs as much as it tells: the share of its chi-square in the largest one scales its idf.
-        self.idf = self.idf * np.sqrt(np.array([-s for s, _ in rank[:TERMS]]) / -rank[0][0]) if rank else self.idf
+        chosen = dependent_terms(df, n0, n1)
+        self.terms = {t: i for i, t in enumerate(chosen)}
+        self.idf = np.array([np.log((1 + len(y)) / (1 + sum(df[t]))) + 1 for t in chosen], np.float64)
         vectors = self.vectors(texts)
         # Like examples together: by their strongest term, then label, then id.
         order = sorted(range(len(y)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, labels[i], ids[i]))
         self.ids, self.y = np.array([ids[i] for i in order], np.int64), y[order]
-        self.blocks = -(-len(order) // BLOCK)
-        self.weights = np.zeros((len(self.terms), self.blocks * BLOCK), np.float32)
-        for j, i in enumerate(order):
-            self.weights[vectors[i][0], j] = vectors[i][1]
-        self.tops = self.weights.reshape(len(self.terms), self.blocks, BLOCK).max(2)
+        self._postings([vectors[i] for i in order])
         # Calibration: each example scored without itself; its label's true share is its weight.
         own = [self.nearest(*vectors[i], skip=j) for j, i in enumerate(order)]
         votes = np.array([self.vote(*x) for x in own])
         w = np.where(self.y == 1, share / n1, (1 - share) / n0)
         bare = np.array([not len(x[0]) for x in own])
-        self.bare = float((w * self.y)[bare].sum() / w[bare].sum()) if bare.any() else share
+        self.bare = float((w * self.y)[bare].sum() / w[bare].sum()) if bare.any() and w[bare].sum() > 0 else share
         self.steps, self.values = _isotonic(votes[~bare], self.y[~bare].astype(float), w[~bare])
 
+    def _postings(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """place and weight of every posting, by term and then place; spans: each term's blocks, with the first posting and
+        the largest weight of each; first: each term's first span."""
+        term = np.concatenate([at for at, _ in vectors] or [np.zeros(0, np.int64)])
+        place = np.repeat(np.arange(len(vectors)), [len(at) for at, _ in vectors])
+        weight = np.concatenate([v for _, v in vectors] or [np.zeros(0)])
+        order = np.lexsort((place, term))
+        term, self.place, self.weight = term[order], place[order], weight[order]
+        self.blocks = -(-len(vectors) // BLOCK)
+        span = term * self.blocks + self.place // BLOCK
+        begin = np.flatnonzero(np.diff(span, prepend=-1))
+        self.span_block = (self.place // BLOCK)[begin]
+        self.span_start = np.append(begin, len(span))
+        self.span_most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
+        self.first = np.searchsorted(term[begin], np.arange(len(self.terms) + 1))
+
     def vectors(self, texts: list[str], table: dict[bytes, tuple[int, ...]] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Terms and normalised weights of each text."""
         table = {} if table is None else table
@@ -115,39 +142,40 @@ class Index:
 
     def nearest(self, at: np.ndarray, v: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the K nearest examples with a positive cosine, exactly."""
+        place, cos = np.zeros(0, np.int64), np.zeros(0)
         if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        v = v.astype(np.float32)
-        bound = v @ self.tops[at] * np.float32(1 + 1e-5)
+            return place, cos
+        spans = _ranges(self.first[at], self.first[at + 1])
+        value = np.repeat(v, self.first[at + 1] - self.first[at])
+        bound = np.bincount(self.span_block[spans], value * self.span_most[spans], self.blocks) * (1 + 1e-9)
         order = np.argsort(-bound, kind="stable")
-        place, cos, opened, step = np.zeros(0, np.int64), np.zeros(0, np.float32), 0, 8
-        rows = self.weights[at]
+        order = order[bound[order] > 0]
+        opened, step = 0, 4
         while opened < len(order):
             some = order[opened : opened + step]
-            low = cos[-1] if len(cos) == NEAREST else 0.0
-            some = some[bound[some] >= low] if low > 0 else some[bound[some] > 0]
+            if len(cos) == NEAREST:
+                some = some[bound[some] >= cos[-1]]
             if not len(some):
                 break
-            own = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            own = own[own < len(self.ids)]
-            got = v @ rows[:, own]
-            place, cos = np.concatenate([place, own]), np.concatenate([cos, got])
-            keep = (cos > 0) & (place != skip)
-            place, cos = place[keep], cos[keep]
-            best = np.lexsort((self.ids[place], -np.round(cos, 5)))[:NEAREST]
+            take = np.zeros(self.blocks, bool)
+            take[some] = True
+            mine = take[self.span_block[spans]]
+            a, b = self.span_start[spans[mine]], self.span_start[spans[mine] + 1]
+            read = _ranges(a, b)
+            got = np.bincount(self.place[read], np.repeat(value[mine], b - a) * self.weight[read])
+            new = np.flatnonzero(got)
+            new = new[new != skip]
+            place, cos = np.concatenate([place, new]), np.concatenate([cos, got[new]])
+            best = np.lexsort((self.ids[place], -np.round(cos, 9)))[:NEAREST]
             place, cos = place[best], cos[best]
             opened += step
             step *= 4
         return place, cos
 
     def vote(self, place: np.ndarray, cos: np.ndarray) -> float:
-        if not len(place):
-            return 0.0
-        w = cos.astype(np.float64) ** 2
-        # Labels stand for their true share, and one vote of the whole is added so that few or far neighbours say little.
-        n1 = float((w * self.y[place]).sum())
-        n0 = float((w * (1 - self.y[place])).sum())
-        return (n1 + 0.1 * 0.5) / (n1 + n0 + 0.1)
+        """The share of label 1, with a tenth of a vote that is undecided, so that few or far neighbours say little."""
+        w = cos**POWER
+        return (float(w[self.y[place] == 1].sum()) + 0.05) / (float(w.sum()) + 0.1) if len(place) else 0.0
 
     def score(self, texts: list[str], table: dict) -> list[tuple[float, list[tuple[int, int, float]]]]:
         """Score and evidence (id, label and cosine of the three nearest examples) of each text."""
@@ -164,6 +192,12 @@ class Index:
         return out
 
 
+def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All integers of the ranges from a to b, one range after another."""
+    n = b - a
+    return np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
+
+
 def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of the rising function of x that is nearest to y (pool adjacent violators)."""
     order = np.argsort(x, kind="stable")
@@ -176,20 +210,40 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array([p[2] / p[0] for p in pools] or [0.0]), np.array([p[1] / p[0] for p in pools] or [0.0])
 
 
+def without_copies(rows: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Examples (id, label, text) of which none agrees with an earlier one of its label in half of the MinHash values."""
+    shingler, (a, b) = near.Shingler(), near.multipliers(VALUES)
+    out = []
+    for label in (0, 1):
+        seen, n = np.zeros((len(rows), VALUES), np.uint16), 0
+        for r in (r for r in rows if r[1] == label):
+            s = shingler.shingles(r[2])
+            if len(s):
+                seen[n] = near.signature(s, a, b)
+                if ((seen[:n] == seen[n]).sum(1) >= VALUES // 2).any():
+                    continue
+                n += 1
+            out.append(r)
+    return sorted(out)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Index:
     """Fit on a bounded sample: ids by narrow columns first, then their texts by a broadcast join with at most
-    2 * 4 * per_label ids."""
+    2 * per_label ids."""
     y = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("k is not null and y in (0, 1)")
     n = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
-    # Four times as many ids as texts, as labelled rows need not have a text of the right length.
-    top = hash_sample(y, "y", "k", 4 * per_label).withColumnRenamed("place", "r")
     rows = keyed(docs, k=id_col, t=text_col).filter(F.length("t") <= FIT_CHARS)
-    ids = rows.select("k").join(F.broadcast(top), "k").dropDuplicates(["k", "y"])
-    ids = ids.withColumn("q", F.row_number().over(Window.partitionBy("y").orderBy("r"))).filter(F.col("q") <= per_label).select("k", "y")
-    got = rows.join(F.broadcast(ids), "k").dropDuplicates(["k", "y"]).collect()
-    got.sort(key=lambda r: (r["k"], r["y"]))
-    return Index([r["k"] for r in got], [r["t"] for r in got], [r["y"] for r in got], share)
+    lengths = rows.select("k", F.length("t").alias("n"))
+    # Labelled rows need not have a text of the right length; those found in a scan of narrow columns are chosen from.
+    sized = lambda found: lengths.join(F.broadcast(found), "k").groupBy("y", "k", "h").agg(F.max("n").alias("n"))
+    ids = hash_sample(y, "y", "k", per_label, 2 * per_label, SAMPLE_CHARS, sized)
+    if not ids:
+        return Index([], [], [], share)
+    chosen = docs.sparkSession.createDataFrame(ids, f"y int, k {dict(rows.dtypes)['k']}")
+    got = rows.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).collect()
+    kept = without_copies(sorted((r["k"], r["y"], r["t"]) for r in got))
+    return Index([k for k, _, _ in kept], [t for _, _, t in kept], [y for _, y, _ in kept], share)
 
 
 def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -2,22 +2,24 @@
 
 Entries are a host and a path prefix, with a verdict; an entry is either a rule or an item of the block list. The 64-bit
 xxhash keys of all entries, sorted, the offsets of their full strings and the strings themselves are files that every task
-maps into memory. A URL's candidates are its host's suffixes of label counts that occur among the entries, each with the
+maps into memory. Rules and items of the block list are told apart in the strings, so neither hides the other. A URL's candidates are its host's suffixes of label counts that occur among the entries, each with the
 path's prefixes of lengths that occur; their hashes are looked up for a whole batch by binary search, and a hit counts
 only if the stored string equals the candidate, so colliding hashes do no harm. The longest fitting rule decides; without
 one the block list does (block if an item fits, else allow).
 
 An array holds at most SHARD_ENTRIES entries; longer lists make several arrays, which are probed one after another. They
-are mapped, not loaded, so their size is bounded by disk and not by memory. Spark ships the files to the executors.
+are mapped, not loaded, so their size is bounded by disk and not by memory. They lie in the shared folder, whence tasks map
+them; where that is no mounted folder, Spark fetches them to the executors.
 
 Defined results: a null URL or one without :// has an empty host and path, fits no entry and is allowed; repeated rows
-give repeated results; of equally long rules the one with the longer host decides; other columns are left out.
+give repeated results; of equally long rules the one with the longer host decides, and of equal ones of unlike verdicts
+the one that blocks; other columns are left out.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
+import re
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -28,7 +30,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from factmill.llm.common import keyed, map_batches, read
+from factmill.llm.common import file_system, keyed, map_batches, read, shared_path
 
 SHARD_ENTRIES = 4_000_000
 
@@ -70,29 +72,35 @@ _VERDICTS = ("allow", "block")
 
 
 def build(entries: Iterable[Entry], folder: str, shard_entries: int = SHARD_ENTRIES) -> list[str]:
-    """Write entries as arrays; returns their paths. Entries come one by one and at most a shard is held."""
-    paths, held = [], {}
+    """Write entries as arrays in a folder; returns their paths. Entries come one by one and at most a shard is held."""
+    system, base = file_system(folder)
+    system.create_dir(base, recursive=True)
+    paths: list[str] = []
+    held: dict[bytes, int] = {}
+    shapes: set[tuple[int, int, int]] = set()
 
     def flush() -> None:
-        raw = {s.encode(): code for s, code in held.items()}
-        order = sorted(raw, key=xxhash.xxh3_64_intdigest)
-        keys = np.array([xxhash.xxh3_64_intdigest(s) for s in order], "<u8")
-        ends = np.cumsum([0, *map(len, order)]).astype("<u8")
-        codes = np.array([raw[s] for s in order], np.uint8)
-        shapes = sorted({(s.count(b".", 0, s.index(b"/\0")) + 1, len(s.partition(b"/\0")[2].decode())) for s in order})
-        path = os.path.join(folder, f"urls-{uuid.uuid4().hex}.bin")
-        with open(path, "wb") as f:
-            np.array([len(order), len(shapes)], "<u8").tofile(f)
-            np.array(shapes, "<u8").reshape(-1).tofile(f)
-            keys.tofile(f)
-            ends.tofile(f)
-            codes.tofile(f)
-            f.write(b"".join(order))
-        paths.append(path)
+        order = sorted(held, key=xxhash.xxh3_64_intdigest)
+        out = io.BytesIO()
+        for x in (
+            np.array([len(order), len(shapes)], "<u8"),
+            np.array(sorted(shapes), "<u8").reshape(-1),
+            np.array([xxhash.xxh3_64_intdigest(s) for s in order], "<u8"),
+            np.cumsum([0, *map(len, order)]).astype("<u8"),
+            np.array([held[s] for s in order], np.uint8),
+        ):
+            out.write(x.tobytes())
+        out.write(b"".join(order))
+        paths.append(f"{folder}/urls-{uuid.uuid4().hex}.bin")
+        with system.open_output_stream(f"{base}/{paths[-1].rpartition('/')[2]}", compression=None) as f:
+            f.write(out.getbuffer())
         held.clear()
+        shapes.clear()
 
     for e in entries:
-        held[f"{e.host}/\0{e.path}"] = _VERDICTS.index(e.verdict) | 2 * e.rule
+        s = key(e.rule, e.host, e.path)
+        held[s] = max(held.get(s, 0), _VERDICTS.index(e.verdict))
+        shapes.add((int(e.rule), e.host.count(".") + 1, len(e.path)))
         if len(held) >= shard_entries:
             flush()
     if held:
@@ -100,14 +108,19 @@ def build(entries: Iterable[Entry], folder: str, shard_entries: int = SHARD_ENTR
     return paths
 
 
+def key(rule: int, host: str, path: str) -> bytes:
+    """The string of an entry: its kind, host and path."""
+    return f"{'r' if rule else 'b'}{host}/\0{path}".encode()
+
+
 class DigestArray:
     """A mapped array of entries."""
 
     def __init__(self, path: str):
         n, shapes = (int(x) for x in np.fromfile(path, "<u8", 2))
         at = 16
-        self.shapes = [tuple(map(int, x)) for x in np.fromfile(path, "<u8", 2 * shapes, offset=at).reshape(-1, 2)]
-        at += 16 * shapes
+        self.shapes = [tuple(map(int, x)) for x in np.fromfile(path, "<u8", 3 * shapes, offset=at).reshape(-1, 3)]
+        at += 24 * shapes
         self.keys = np.memmap(path, "<u8", "r", at, (n,))
         self.ends = np.memmap(path, "<u8", "r", at + 8 * n, (n + 1,))
         self.codes = np.memmap(path, np.uint8, "r", at + 16 * n + 8, (n,))
@@ -131,33 +144,28 @@ class DigestArray:
 def judge(urls: list[str | None], arrays: list[DigestArray]) -> list[tuple[str, str, str | None, str]]:
     """Host, path, deciding rule (host and path prefix; null without one) and verdict of each URL."""
     parts = [host_path(u) for u in urls]
-    fits: list[list[tuple[int, int, str, int]]] = [[] for _ in urls]
+    rules: list[tuple[int, int, str, int] | None] = [None] * len(urls)
+    blocked = [False] * len(urls)
     for array in arrays:
         candidates, places = [], []
         for i, (host, path) in enumerate(parts):
             if not host:
                 continue
             suffixes: dict[int, str | None] = {}
-            for labels, size in array.shapes:
+            for rule, labels, size in array.shapes:
                 if labels not in suffixes:
                     cut = host.rsplit(".", labels)
                     suffixes[labels] = host if len(cut) == labels else ".".join(cut[1:]) if len(cut) > labels else None
                 if suffixes[labels] is not None and size <= len(path):
-                    candidates.append(f"{suffixes[labels]}/\0{path[:size]}".encode())
-                    places.append((i, suffixes[labels], path[:size]))
+                    candidates.append(key(rule, suffixes[labels], path[:size]))
+                    places.append((i, rule, suffixes[labels], path[:size]))
         codes = array.find(candidates) if candidates else []
-        for (i, h, p), code in zip(places, codes, strict=True):
-            if code >= 0:
-                fits[i].append((len(h) + len(p), len(h), h + p, int(code)))
-    out = []
-    for (host, path), own in zip(parts, fits, strict=True):
-        rules = [x for x in own if x[3] & 2]
-        if rules:
-            best = max(rules)
-            out.append((host, path, best[2], _VERDICTS[best[3] & 1]))
-        else:
-            out.append((host, path, None, "block" if any(x[3] & 1 for x in own) else "allow"))
-    return out
+        for (i, rule, h, p), code in zip(places, codes, strict=True):
+            if code >= 0 and rule:
+                rules[i] = max(rules[i] or (-1,), (len(h) + len(p), len(h), h + p, int(code)))
+            elif code == 1:
+                blocked[i] = True
+    return [(h, p, r[2] if r else None, _VERDICTS[r[3] if r else int(b)]) for (h, p), r, b in zip(parts, rules, blocked, strict=True)]
 
 
 def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Iterable[Entry] = RULES, block_list: Iterable[Entry] = BLOCK_LIST, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
@@ -168,13 +176,14 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
         yield from rules
         yield from block_list
 
-    names = []
-    for path in build(entries(), tempfile.mkdtemp(prefix="factmill-"), shard_entries):
-        spark.sparkContext.addFile(path)  # the driver serves it; executors that start later fetch it too
-        names.append(os.path.basename(path))
+    paths = build(entries(), shared_path(spark, "urls"), shard_entries)
+    mounted = all(re.match(r"file:/|/", p) for p in paths)
+    if not mounted:
+        for p in paths:
+            spark.sparkContext.addFile(p)
 
     def prepare():
-        arrays = [DigestArray(SparkFiles.get(n)) for n in names]
+        arrays = [DigestArray(file_system(p)[1] if mounted else SparkFiles.get(p.rpartition("/")[2])) for p in paths]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = judge(batch.column("u").to_pylist(), arrays)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from factmill.llm.common import bound_batches, read, shared_path
+from factmill.llm.common import bound_batches, file_system, read, shared_path
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 _TYPES = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in SCHEMA.split(", ")])
@@ -47,12 +47,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]+")
 
 
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    if m := re.match(r"file:/*(/.*)", path):
-        return pafs.LocalFileSystem(), m[1]
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 # --- records
 
 

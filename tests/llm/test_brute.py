@@ -11,7 +11,7 @@ from compare import assert_same
 
 import __spark_entry__ as entry
 from factmill.llm import decontaminate, graph, language, near, pieces, pii, queries, secret_scan, topk, toxicity, url_filter, warc
-from factmill.llm.common import read
+from factmill.llm.common import crc_mod, read
 
 
 def sha(s):
@@ -199,7 +199,7 @@ def test_wu_manber_on_small_alphabets():
             for w in decontaminate.windows_of(decontaminate.words_of(t)):
                 windows.setdefault(w, []).append(i)
         texts = [text(rng.choice([0, 1, 5, 30, 600])) + " " + items[0], text(1100)]
-        for t, (n, starts, ends, own) in zip(texts, decontaminate.Patterns(windows).search(texts), strict=True):
+        for t, (n, starts, ends, own) in zip(texts, decontaminate.Searcher([decontaminate.Patterns.unpacked(decontaminate.Patterns(windows).packed())]).search(texts), strict=True):
             w, hit, want = decontaminate.words_of(t), set(), set()
             for x, o in windows.items():
                 for i in range(len(w) - len(x) + 1):
@@ -209,10 +209,17 @@ def test_wu_manber_on_small_alphabets():
             assert n == len(w) and {k for a, b in zip(starts, ends) for k in range(a, b)} == hit and set(own) == want
 
 
-def test_passes_give_the_same(spark, small):
+@pytest.mark.parametrize("most", [1, 7, 60])
+def test_several_tables_give_the_same(spark, small, most):
     d, b = read(spark, small, "documents"), read(spark, small, "benchmark")
-    one, many = (sorted(map(str, decontaminate.find(d, b, most_windows=n).collect())) for n in (10**6, 60))
+    b = b if most > 1 else b.limit(2)
+    one, many = (sorted(map(str, decontaminate.find(d, b, most_windows=n).collect())) for n in (10**6, most))
     assert one == many
+    docs = spark.createDataFrame([(1, "a b c"), (1, "x y z"), (1, "a b c x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c"), (2, "x y z"), (2, "x y z"), (None, "c x")], "item_id long, text string")
+    for n in (1, 10**6):
+        got = sorted((r["items"], r["starts"], r["ends"]) for r in decontaminate.find(docs, items, most_windows=n).collect())
+        assert got == [([1], [0], [3]), ([1, 2], [0], [6]), ([2], [0], [3])]
 
 
 # --- near duplicates
@@ -300,16 +307,93 @@ def test_big_integers():
 # --- labels
 
 
-def test_toxicity_is_exact_and_learns(run, spark, small):
-    index = toxicity.fit(read(spark, small, "documents"), read(spark, small, "labels"))
-    texts = [r["text"] for r in read(spark, small, "documents").limit(60).collect()]
-    for at, v in index.vectors(texts):
-        place, cos = index.nearest(at, v)
-        full = v.astype(np.float32) @ index.weights[at][:, : len(index.ids)] if len(at) else np.zeros(len(index.ids))
-        want = np.sort(full[full > 0])[::-1][: toxicity.NEAREST]
-        assert np.allclose(cos, want, atol=2e-5) and np.allclose(full[place], cos, atol=1e-5)
-    frame = run("op4_toxicity")
-    assert frame.score.between(0, 1).all() and (frame.predicted == (frame.score >= 0.3)).all()
+def plain_toxicity(examples, share, texts):
+    """Scores from examples (id, text, label) by dense vectors, without any index: the same rules, written plainly."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+
+    def bag(t):
+        out = {}
+        for w in words(t):
+            w = b"<" + w.encode() + b">"
+            for g in {w, *(w[i : i + 5] for i in range(len(w) - 4))} if len(w) > 5 else {w}:
+                out[g] = out.get(g, 0) + 1
+        return out
+
+    bags, y = [bag(t) for _, t, _ in examples], np.array([v for _, _, v in examples])
+    n, n1 = len(y), int(y.sum())
+    df = {}
+    for b, v in zip(bags, y):
+        for g in b:
+            df.setdefault(g, [0, 0])[v] += 1
+    chi = {g: n * (q * (n - n1) - p * n1) ** 2 / ((p + q) * (n - p - q) * (n - n1) * n1) for g, (p, q) in df.items() if 5 <= p + q < n}
+    rank = sorted(chi, key=lambda g: (-chi[g], g))
+    from statistics import NormalDist
+
+    limit = NormalDist().inv_cdf(1 - 0.01 / len(chi) / 2) ** 2
+    terms = [g for i, g in enumerate(rank) if (i < 100 or chi[g] >= limit) and chi[g] > 0]
+    idf = {g: np.log((1 + n) / (1 + sum(df[g]))) + 1 for g in terms}
+
+    def vector(b):
+        v = np.array([(1 + np.log(b[g])) * idf[g] if g in b else 0.0 for g in terms])
+        return v / np.linalg.norm(v) if v.any() else v
+
+    x = np.array([vector(b) for b in bags])
+
+    def vote(v, skip=None):
+        order = sorted((-round(float(c), 9), examples[j][0], j) for j, c in enumerate(x @ v) if c > 0 and j != skip)[:31]
+        w = [(-c) ** 4 for c, _, _ in order]
+        return (sum(a for a, (_, _, j) in zip(w, order) if y[j]) + 0.05) / (sum(w) + 0.1) if order else None
+
+    own = [vote(v, j) for j, v in enumerate(x)]
+    weight = np.where(y == 1, share / n1, (1 - share) / (n - n1))
+    bare = [j for j, v in enumerate(own) if v is None]
+    none = (weight[bare] * y[bare]).sum() / weight[bare].sum() if bare else share
+    pools = []
+    for v, j in sorted((v, j) for j, v in enumerate(own) if v is not None):
+        pools.append([weight[j], weight[j] * y[j], weight[j] * v])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    at, to = [p[2] / p[0] for p in pools], [p[1] / p[0] for p in pools]
+    return [none if (v := vote(vector(bag(t)))) is None else float(np.interp(v, at, to)) for t in texts]
+
+
+def test_toxicity_equals_brute_force(run, spark):
+    import zlib
+
+    folder = small = "/root/testdata/sf0.01"
+    frame = entry.queries()["op4_toxicity"](spark, small).toPandas()
+    texts = {r["doc_id"]: r["text"] or "" for r in read(spark, folder, "documents").collect()}
+    labelled = sorted((r["doc_id"], r["toxic"]) for r in read(spark, folder, "labels").collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2)
+    assert max(len([1 for _, v in labelled if v == k]) for k in (0, 1)) <= toxicity.PER_LABEL  # the sample is all of them
+    examples = [(i, texts[i], v) for i, v in labelled if i in texts and len(texts[i]) <= toxicity.FIT_CHARS]
+    a, b = near.multipliers(64)
+    sig = {i: near.signature(x, a, b) if len(x := near.Shingler().shingles(t)) else None for i, t, _ in examples}
+    kept = []
+    for e in examples:
+        if sig[e[0]] is None or not any(k[2] == e[2] and sig[k[0]] is not None and (sig[k[0]] == sig[e[0]]).sum() >= 32 for k in kept):
+            kept.append(e)
+    assert len(kept) < len(examples)
+    examples = kept
+    want = plain_toxicity(examples, sum(v for _, v in labelled) / len(labelled), [texts[i] for i in frame.doc_id])
+    assert np.abs(frame.score - np.array(want)).max() < 1e-6
+    assert frame.score.between(0, 1).all() and (frame.predicted == (frame.score >= 0.3)).all() and frame.score.nunique() > 5
+
+
+def test_nearest_examples_are_exact():
+    rng = random.Random(12)
+    word = lambda: rng.choice(["bad", "vile", "awful", "fine", "good", "plain", "thing", "house", "water", "tree", "stone", "light"])
+    for k in (40, 700):
+        texts = [" ".join(word() for _ in range(rng.randrange(1, 30))) for _ in range(k)]
+        index = toxicity.Index(list(range(k)), texts, [int("bad" in t or "vile" in t) for t in texts], 0.2)
+        dense = np.zeros((k, len(index.terms)))
+        for i, (at, v) in enumerate(index.vectors(texts)):
+            dense[i, at] = v
+        for i in range(0, k, 7):
+            cos = dense[index.ids] @ dense[i]
+            want = sorted((-round(c, 9), int(index.ids[p]), p) for p, c in enumerate(cos.tolist()) if c > 0)[: toxicity.NEAREST]
+            place, got = index.nearest(*index.vectors([texts[i]])[0])
+            assert place.tolist() == [p for _, _, p in want] and np.allclose(got, [-c for c, _, _ in want], atol=1e-8)
 
 
 def test_toxicity_held_out(spark):
@@ -329,15 +413,52 @@ def test_language_held_out(run, spark, small):
     assert model.predict(["漢字漢字漢字"])[0][2]
 
 
+def test_language_equals_brute_force(run, spark, small):
+    """Predictions from whole texts by dictionaries of n-grams; the centroids are the model's, whose parts are tested below."""
+    model = language.fit(read(spark, small, "documents").filter(crc_mod("doc_id", 5) != 0))
+    place = {int(c): i for i, c in enumerate(model.codes)}
+    for r in run("op5_language").merge(read(spark, small, "documents").select("doc_id", "text").toPandas(), on="doc_id").itertuples():
+        text = r.text or ""
+        raw = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in (" " + text + " ").encode())
+        v = np.zeros(len(place))
+        for size, base in ((1, 0), (2, 256), (3, 65792)):
+            for i in range(len(raw) - size + 1):
+                code = int.from_bytes(raw[i : i + size], "big") + base
+                if code in place:
+                    v[place[code]] += 1
+        v = np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0) * model.idf
+        cos = model.centroids @ v / (np.linalg.norm(v) or 1)
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            best = int(cos.argmax())
+            assert r.score == pytest.approx(cos[best], abs=1e-5) and r.lang_pred in {model.langs[model.owner[j]] for j in np.flatnonzero(cos > cos[best] - 1e-5)}
+            assert abs(cos[best] - model.limit[best]) < 1e-5 or r.rejected == (cos[best] < model.limit[best])
+
+
+def test_centroids_and_limits_are_those_of_the_sample():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(("haus baum wasser licht" if i % 2 else "house tree water light").split()) for _ in range(20)) for i in range(60)]
+    langs = ["de" if i % 2 else "en" for i in range(60)]
+    model = language.Model(texts, langs)
+    x = np.concatenate([v for v, _ in model.vectors(texts)])
+    near = (x @ model.centroids.T).argmax(1)
+    for j in range(len(model.centroids)):
+        own = x[near == j]
+        mean = own.mean(0)
+        assert np.allclose(model.centroids[j], mean / np.linalg.norm(mean), atol=1e-4) and {langs[i] for i in np.flatnonzero(near == j)} == {model.langs[model.owner[j]]}
+    assert np.allclose(np.linalg.norm(x, axis=1), 1, atol=1e-5)
+
+
 # --- urls and archives
 
 
 def test_colliding_digests_are_told_apart(tmp_path):
     entries = [url_filter.Entry(f"h{i}.com", "/", "block", False) for i in range(20)]
     array = url_filter.DigestArray(url_filter.build(entries, str(tmp_path))[0])
-    assert (array.find([f"h{i}.com/\0/".encode() for i in range(20)]) == 1).all() and (array.find([b"other.com/\0/"]) == -1).all()
+    assert (array.find([url_filter.key(False, f"h{i}.com", "/") for i in range(20)]) == 1).all() and (array.find([url_filter.key(False, "other.com", "/")]) == -1).all()
     forged = array.keys[3]
-    assert array.find([b"other.com/\0/"], digest=lambda _: int(forged))[0] == -1
+    assert array.find([url_filter.key(False, "other.com", "/")], digest=lambda _: int(forged))[0] == -1
 
 
 def test_entries_in_several_arrays(spark):
@@ -346,6 +467,15 @@ def test_entries_in_several_arrays(spark):
     assert got == {1: ("www.example.com/en/", "allow"), 2: ("example.com/en/", "block")}
 
 
+@pytest.mark.parametrize("shard", [1, 100])
+def test_a_rule_and_a_listed_item_of_one_place(spark, shard):
+    df = spark.createDataFrame([(1, "http://x.com/a"), (2, "http://y.com/a")], "page_id long, url string")
+    rules = [url_filter.Entry("x.com", "/", "allow"), url_filter.Entry("y.com", "/", "block"), url_filter.Entry("y.com", "/", "allow")]
+    listed = [url_filter.Entry("x.com", "/", "block", False)]
+    got = sorted(tuple(r)[3:] for r in url_filter.filter_urls(df, rules=rules, block_list=listed, shard_entries=shard).collect())
+    assert got == [("x.com/", "allow"), ("y.com/", "block")]
+
+
 def test_foreign_archives(spark, tmp_path):
     import gzip
 

@@ -97,6 +97,40 @@ def test_topk(spark):
     assert [r["score"] for r in topk.search(big).orderBy("rank").collect()][0] == (1 << 63) - 1
 
 
+def test_topk_with_clashing_columns_and_the_largest_doubles(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e308, 1.0]), (2, [3.0, -1e308]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("i", "v", "uid", "g", "h", "side", "ids", "score")})
+    assert [tuple(r) for r in topk.search(df).collect()] == [(0, 1, 3, 64 * 64 + 128 * 64)]
+
+
+def test_samples_of_repeated_rows(spark):
+    """One id with most of the rows takes no other language's, label's or id's place."""
+    many = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("le chat et le chien").alias("text"), F.lit("fr").alias("lang"))
+    few = spark.range(100, 140).select(F.col("id").alias("doc_id"), F.concat(F.lit("the cat and the dog "), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit("en").alias("lang"))
+    docs = many.unionByName(few)
+    assert language.fit(docs).langs == ["en", "fr"]
+    labels = docs.select("doc_id", (F.col("lang") == "fr").cast("int").alias("toxic"))
+    index = toxicity.fit(docs, labels)
+    assert 7 in index.ids and len(index.ids) > 5 and index.y.sum() == 1 and len(set(index.ids.tolist())) == len(index.ids)
+
+
+def test_more_languages_than_a_hundred(spark):
+    rows = [(10 * i + j, f"{chr(97 + i // 12) * 3}{chr(97 + i % 12) * 3} " * 5, f"l{i:03}") for i in range(120) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, texts=200)
+    assert len(model.langs) == 120
+    assert sum(r["lang_pred"] == r["lang"] for r in language.identify(docs, model, keep=("lang",)).collect()) > 350
+
+
+def test_equal_cosines_go_to_the_smaller_id_and_first_language():
+    texts = ["bad thing"] * 40 + ["good thing"] * 40
+    index = toxicity.Index(list(range(80)), texts, [1] * 40 + [0] * 40, 0.5)
+    place, _ = index.nearest(*index.vectors(["bad thing"])[0])
+    assert index.ids[place].tolist() == list(range(toxicity.NEAREST))
+    model = language.Model(["same words here"] * 6, ["en", "fr"] * 3)
+    assert model.predict(["same words here"])[0][0] == "en"
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://"), (4, "http://A.COM/x"), (4, "http://A.COM/x"), (5, "://com"), (6, "http://" + "a." * 5000 + "net/fr/"), (7, "http://x.test?q")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
