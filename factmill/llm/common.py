@@ -102,6 +102,30 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+#: Bits of the filter of ids(); a fixed 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def slot(column: str | F.Column) -> F.Column:
+    """The bit of an id in the filter of ids()."""
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, column: str) -> bytes:
+    """A filter of fixed size with the bit of every id set, for tests that may let others pass."""
+    bit = slot(column) + 1  # Spark numbers bits, and the parts of a bitmap, from 1
+    parts = (
+        ids.select(bit.alias("s"))
+        .groupBy(F.expr("bitmap_bucket_number(s)").alias("part"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
+    )
+    whole = bytearray(FILTER_BITS >> 3)
+    for r in parts.toLocalIterator():  # at most FILTER_BITS / 32768 rows of 4 KB
+        at = (r["part"] - 1) * 4096
+        whole[at : at + len(r["bits"])] = r["bits"]
+    return bytes(whole)
+
+
 def append_columns(
     df: DataFrame,
     keep: Iterable[str],

@@ -5,12 +5,18 @@ signature of a class has SYMBOLS values of b bits, cut into CHUNKS chunks. If tw
 CHUNKS * (ERRORS + 1) - 1 places, the pigeonhole principle leaves a chunk with at most ERRORS differing places, so
 indexing each chunk with every choice of ERRORS places left out finds the pair in some bucket. With 13 chunks of 5 and
 one error this guarantees all pairs that differ in up to 25 of 65 places; a pair of similarity 0.8 differs in 13 on
-average, and one that differs in more places still meets with high probability (a miss has about 3 in 10^8).
-
-Buckets are never expanded into pairs. Their members are joined to the bucket's smallest id, which gives candidate
-components; within these, full shingle sets are compared block by block as matrix products, and each block pair returns
-at most one link per row (a spanning set), so a group of n near copies makes about n rows and not n^2. Links are
-confirmed exactly: 100 * intersection >= 80 * union. Connected components of the links give the classes.
+average, and one that differs in more places still meets with high probability (a miss has about 3 in 10^8, and one of
+more than FAR places 1 in 10^8).
+
+Buckets are never expanded into pairs. Their members are joined to the bucket's smallest id, its head. A sketch of 64 bits
+that travels with every key tells whether some member is far from the head; in such a bucket (of at most BUCKET members;
+larger ones keep their joins) all signatures are compared, and only what differs in at most FAR places is joined, so
+chance meetings don't chain unlike texts together. That gives candidate components, within which full shingle sets are
+compared as matrix products. A component of more than a block is dealt to blocks; each is compared with itself and with
+some members of all blocks, which joins the copies of one text to one cluster, and only members outside the largest
+cluster then meet all other blocks. Each comparison returns at most one link per row (a spanning set), so a group of n
+near copies makes about n rows and n / BLOCK_ROWS tasks, not n^2. Links are confirmed exactly: 100 * intersection >= 80 *
+union. Connected components of the links give the classes.
 
 Defined results: a text without words (null, empty, blank) has no shingles and is a component of its own; a text of one
 word is its one shingle; rows that repeat a doc_id stay rows, and those with equal texts are in the same component;
@@ -28,15 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.llm.common import cut, keyed, map_batches, read, texts_of
+from factmill.llm.common import cut, id_filter, map_batches, read, slot, texts_of
 from factmill.llm.graph import components
 
 CHUNKS, PLACES, ERRORS = 13, 5, 1
 SYMBOLS = CHUNKS * PLACES
 #: Rows and shingles of a block of full sets; a comparison holds two blocks.
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 600_000
-#: Bits of the filter that keeps texts out of the second reading; a fixed 4 MB at most, whatever the input.
-FILTER_BITS = 1 << 25
+#: Members of a large component, on average, that meet all its blocks.
+PIVOTS = 64
+#: Places in which the signatures of joined texts may differ, where a bucket is compared, and bits of sketches that tell
+#: which buckets need it; buckets of more members are never compared.
+FAR, FAR_BITS, BUCKET = 33, 16, 128
 TABLE_ROWS = 300_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -117,7 +126,7 @@ def text_hash(text_col: str) -> F.Column:
 
 
 def bucket_keys(classes: DataFrame) -> DataFrame:
-    """rep and key, one row for each chunk and each choice of places left out of it."""
+    """rep, key and sketch (the lowest bits of 64 values), one row for each chunk and each choice of places left out of it."""
     masks = [np.array([p for p in range(PLACES) if p not in out]) for out in combinations(range(PLACES), ERRORS)]
 
     def prepare():
@@ -125,7 +134,9 @@ def bucket_keys(classes: DataFrame) -> DataFrame:
             rep = batch.column("rep").to_numpy(zero_copy_only=False)
             if not len(rep):
                 return None
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(rep), SYMBOLS).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(rep), SYMBOLS)
+            sketch = np.packbits(sig[:, :64].astype(np.uint8) & 1, axis=1).view(np.int64).ravel()
+            sig = sig.astype(np.uint64)
             keys = []
             for c in range(CHUNKS):
                 for m, places in enumerate(masks):
@@ -133,35 +144,60 @@ def bucket_keys(classes: DataFrame) -> DataFrame:
                     for p in places:
                         key = mix(key * np.uint64(1 << 16) + sig[:, c * PLACES + p])
                     keys.append(key)
-            keys = np.concatenate(keys).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.tile(rep, len(keys) // len(rep))), pa.array(keys)], ["rep", "key"])
+            n, keys = len(keys), np.concatenate(keys).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.tile(rep, n)), pa.array(keys), pa.array(np.tile(sketch, n))], ["rep", "key", "sketch"])
+
+        return step
+
+    return map_batches(classes.select("rep", "sig"), "rep long, key long, sketch long", prepare)
+
+
+def _close(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links a, b that connect, in each group of reps, what signatures that differ in at most FAR places connect."""
+    members = groups.select(F.xxhash64("reps").alias("g"), F.explode("reps").alias("rep")).join(classes.select("rep", "sig"), "rep")
+    members = members.groupBy("g").agg(F.collect_list(F.struct("rep", "sig")).alias("m")).select("m")
+
+    def prepare():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[tuple[int, int]] = []
+            for m in batch.column("m").to_pylist():
+                ids = np.array([x["rep"] for x in m])
+                sig = np.frombuffer(b"".join(x["sig"] for x in m), np.uint16).reshape(len(m), SYMBOLS)
+                far = np.zeros((len(m), len(m)), np.int16)
+                for p in range(SYMBOLS):
+                    far += sig[:, p, None] != sig[None, :, p]
+                out += _spanning(ids, *np.nonzero(far <= FAR))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
         return step
 
-    return map_batches(classes.select("rep", "sig"), "rep long, key long", prepare)
+    return map_batches(members, "a long, b long", prepare)
 
 
-def _slots(ids: DataFrame) -> bytes:
-    """A filter of fixed size with the bit of every id set."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # Spark numbers bits, and the parts of a bitmap, from 1
-    parts = (
-        ids.select(slot.alias("s"))
-        .groupBy(F.expr("bitmap_bucket_number(s)").alias("part"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """Links a, b of classes that share a bucket, through its head or, where some member is far from that, as _close() does."""
+    keys = bucket_keys(classes)
+    heads = keys.groupBy("key").agg(F.min(F.struct("rep", "sketch")).alias("h"), F.count("*").alias("members"))
+    heads = heads.filter("members > 1").select("key", F.col("h.rep").alias("head"), F.col("h.sketch").alias("top"), "members")
+    far = F.bit_count(F.col("sketch").bitwiseXOR(F.col("top"))) > FAR_BITS
+    small = keys.join(heads.filter(F.col("members") <= BUCKET), "key").groupBy("key").agg(
+        F.first("head").alias("head"), F.max(far).alias("far"), F.array_sort(F.collect_list("rep")).alias("reps")
     )
-    whole = bytearray(FILTER_BITS >> 3)
-    for r in parts.toLocalIterator():  # at most FILTER_BITS / 32768 rows of 4 KB
-        at = (r["part"] - 1) * 4096
-        whole[at : at + len(r["bits"])] = r["bits"]
-    return bytes(whole)
+    small = small.groupBy("reps").agg(F.first("head").alias("head"), F.max("far").alias("far"))  # many buckets of copies hold the same
+    small = cut(small)
+    large = keys.join(heads.filter(F.col("members") > BUCKET), "key").filter("rep <> head").select("rep", "head")
+    stars = small.filter("not far").select(F.explode("reps").alias("rep"), "head").filter("rep <> head").union(large)
+    # A class has at most one head for each of its keys; joined through the smallest of them, its links are few.
+    own = stars.groupBy("rep").agg(F.min("head").alias("low"), F.collect_set("head").alias("others"))
+    through = own.select(F.explode("others").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+    return own.select(F.col("rep").alias("a"), F.col("low").alias("b")).union(through).union(_close(small.filter("far"), classes))
 
 
 def full_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """id, comp, n and set of the texts whose id is among ids (id, comp). Texts go through no shuffle: a filter of fixed
     size, which may let others pass, keeps most texts out, and the join with ids drops the rest."""
     spark = df.sparkSession
-    bits = spark.sparkContext.broadcast(_slots(ids))
-    slot = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
+    bits = spark.sparkContext.broadcast(id_filter(ids, "id"))
 
     def prepare():
         shingler, own = Shingler(size), np.frombuffer(bits.value, np.uint8)
@@ -177,7 +213,7 @@ def full_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: i
 
         return step
 
-    rows = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"), slot.alias("s")).filter("k is not null")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.col(f"`{text_col}`").alias("t")).filter("k is not null").withColumn("s", slot("k"))
     return map_batches(rows, "id long, n long, set binary", prepare).filter("n > 0").join(ids, "id")
 
 
@@ -203,7 +239,9 @@ def _compare(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> n
 
 
 def _spanning(ids: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect all that the linked pairs connect, one for each row at most."""
+    """Links that connect all that the linked pairs of places connect, one for each row at most, to the smallest id."""
+    place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # of each row by rising id
+    own, other = place[own], place[other]
     label = np.arange(len(ids))
     while True:
         low = label.copy()
@@ -213,27 +251,13 @@ def _spanning(ids: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[tuple
         if (low == label).all():
             break
         label = low
-    return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label) if i != j]
+    ranked = np.sort(ids)
+    return [(int(ranked[i]), int(ranked[j])) for i, j in enumerate(label) if i != j]
 
 
-def links(sets: DataFrame, percent: int = 80) -> DataFrame:
-    """Confirmed links a, b that connect, in each candidate component, what all its links connect.
-
-    Components of at most a block are packed together by hash; a larger one is dealt to blocks by hash, and each pair of
-    its blocks is compared in a task of its own. The size of a block is bounded in rows and in shingles.
-    """
-    weight = sets.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    weight = cut(weight.withColumn("parts", parts))
-    total = weight.agg(F.sum("shingles"), F.sum("rows")).first()
-    packs = max(1, int((total[0] or 0) // BLOCK_SHINGLES), int((total[1] or 0) // BLOCK_ROWS))
-    rows = sets.join(weight.select("comp", "parts"), "comp")
-    small = rows.filter("parts = 1").select(
-        F.pmod(F.xxhash64("comp"), F.lit(packs)).alias("pack"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "comp", "id", "set"
-    )
-    large = rows.filter("parts > 1").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
-    large = large.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    large = large.select(F.col("comp").alias("pack"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "comp", "id", "set")
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Links a, b of rows (pack, i, j, comp, id, set, left, right): a task for each pack, i and j, in which the left sets of
+    each comp are compared with its right ones."""
 
     def compare(table: pa.Table) -> pa.Table:
         own = table.to_pydict()
@@ -242,19 +266,57 @@ def links(sets: DataFrame, percent: int = 80) -> DataFrame:
             groups.setdefault(c, []).append(r)
         out: list[tuple[int, int]] = []
         for rows in groups.values():
-            if len(rows) < 2:
-                continue
-            first = [r for r in rows if own["block"][r] == own["i"][r]]
-            second = [r for r in rows if own["block"][r] != own["i"][r]] or first
-            if not first:
+            first, second = [r for r in rows if own["left"][r]], [r for r in rows if own["right"][r]]
+            if len(rows) < 2 or not first or not second:
                 continue
             sets = {r: np.frombuffer(own["set"][r], np.uint64) for r in rows}
+            same = first == second
             x, y = np.nonzero(_compare([sets[r] for r in first], [sets[r] for r in second], percent))
-            ids = np.array([own["id"][r] for r in [*first, *second]])
-            out += _spanning(ids, x, y + len(first) if second is not first else y)
+            ids = np.array([own["id"][r] for r in (first if same else [*first, *second])])
+            out += _spanning(ids, x, y if same else y + len(first))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return small.union(large).groupBy("pack", "i", "j").applyInArrow(compare, "a long, b long").filter("a <> b")
+    return rows.groupBy("pack", "i", "j").applyInArrow(compare, "a long, b long").filter("a <> b")
+
+
+def links(sets: DataFrame, percent: int = 80) -> DataFrame:
+    """Confirmed links a, b that connect, in each candidate component, what all its links connect.
+
+    Components of at most a block are packed together by hash. A larger one is dealt to blocks by hash, of bounded rows and
+    shingles. First each block is compared with itself and with the component's pivots, members of smallest hash. What
+    then isn't in the largest cluster of its component, the rest, is compared with all its blocks. Two members of the largest
+    cluster are connected already, so no pair that could connect anything is left out.
+    """
+    parts_of = lambda: F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    both = [F.lit(True).alias("left"), F.lit(True).alias("right")]
+    weight = sets.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    weight = cut(weight.withColumn("parts", parts_of()))
+    total = weight.filter("parts = 1").agg(F.sum("shingles"), F.sum("rows")).first()
+    packs = max(1, int((total[0] or 0) // BLOCK_SHINGLES), int((total[1] or 0) // BLOCK_ROWS))
+    rows = sets.join(weight.select("comp", "rows", "parts"), "comp")
+    small = rows.filter("parts = 1").select(F.pmod(F.xxhash64("comp"), F.lit(packs)).alias("pack"), F.lit(0).alias("i"), F.lit(0).alias("j"), "comp", "id", "set", *both)
+    if weight.filter("parts > 1").isEmpty():
+        return _compared(small, percent)
+    large = rows.filter("parts > 1").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
+    pivot = F.pmod(F.xxhash64("id", F.lit(2)), F.col("rows")) < PIVOTS
+    own = F.array(F.col("block"))
+    first = large.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    found = cut(_compared(small.union(first.select(F.col("comp").alias("pack"), "i", F.lit(-1).alias("j"), "comp", "id", "set", *both)), percent))
+    # Clusters of large components, by ids alone.
+    narrow = cut(large.select("comp", "id", "n", "block", "parts"))
+    linked = narrow.select("id").join(found.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), "b")
+    label = narrow.join(components(linked).withColumnRenamed("comp", "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    sizes = label.groupBy("comp", "cluster").agg(F.count("*").alias("m"))
+    most = sizes.groupBy("comp").agg(F.max_by("cluster", F.struct("m", "cluster")).alias("top"))
+    rest = cut(label.join(most, "comp").filter("cluster <> top").select("comp", "id", "n", "parts"))
+    if rest.isEmpty():
+        return found
+    weight = rest.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).select("comp", parts_of().alias("pieces"))
+    mine = rest.select("comp", "id").join(sets.select("id", "set"), "id").join(weight, "comp").join(narrow.select("id", "parts"), "id")
+    mine = mine.withColumn("i", F.pmod(F.xxhash64("id", F.lit(3)), F.col("pieces")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    theirs = large.join(weight, "comp").withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    side = lambda df, left: df.select(F.col("comp").alias("pack"), "i", "j", "comp", "id", "set", F.lit(left).alias("left"), F.lit(not left).alias("right"))
+    return found.union(_compared(side(mine, True).union(side(theirs, False)), percent))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
@@ -263,12 +325,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sigs = cut(signatures(df, id_col, text_col, size))
     classes = sigs.filter("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     classes = cut(classes)
-    keys = bucket_keys(classes)
-    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    # A class has at most one head for each of its keys; joined through the smallest of them, its links are few.
-    own = keys.join(heads, "key").filter("rep <> head").groupBy("rep").agg(F.min("head").alias("low"), F.collect_set("head").alias("others"))
-    through = own.select(F.explode("others").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-    candidates = components(own.select(F.col("rep").alias("a"), F.col("low").alias("b")).union(through))
+    candidates = components(candidate_links(classes))
     sets = cut(full_sets(df, candidates, id_col, text_col, size))
     found = components(cut(links(sets, percent)))
     copies = classes.filter("copies > 1").select("digest", "rep")
@@ -284,15 +341,20 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
-    """The rows of df of which each component keeps one. Only what goes is joined, by id and text hash; of rows that are
-    equal in both one stays, and rows without an id stay."""
-    found = near_duplicates(df, id_col, text_col, size, percent)
-    found = cut(found.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept"))
-    rows = df.withColumn("_id", F.col(f"`{id_col}`").cast("long")).withColumn("_hash", text_hash(text_col))
-    left = rows.join(found.filter("not kept").select("_id", "_hash").distinct(), ["_id", "_hash"], "left_anti")
-    again = found.filter("kept").groupBy("_id", "_hash").count().filter("count > 1").select("_id", "_hash")
+    """The rows of df of which each component keeps one, that of its smallest id. Only what goes is joined, by id and text
+    hash; of rows that are equal in both that of the smallest digest of all its columns stays, and rows without an id stay.
+    Columns travel under internal names, so none of df's own can clash with those that are added here."""
+    names = {f"c{i}": c for i, c in enumerate(df.columns)}
+    rows = df.toDF(*names) if names else df
+    k, t = (next(n for n, c in names.items() if c == x) for x in (id_col, text_col))
+    found = near_duplicates(rows, k, t, size, percent)
+    found = cut(found.filter("doc_id is not null").select(F.col("doc_id").alias("key"), F.col("text_hash").alias("hash"), "kept"))
+    rows = rows.withColumn("key", F.col(k).cast("long")).withColumn("hash", text_hash(t))
+    left = rows.join(found.filter("not kept").select("key", "hash").distinct(), ["key", "hash"], "left_anti")
+    again = found.filter("kept").groupBy("key", "hash").count().filter("count > 1").select("key", "hash")
     if not again.isEmpty():
         again = cut(again)
-        one = left.join(again, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
-        left = left.join(again, ["_id", "_hash"], "left_anti").unionByName(one)
-    return left.select(*[F.col(f"`{c}`") for c in df.columns])
+        whole = F.struct(*names)
+        one = left.join(again, ["key", "hash"], "left_semi").groupBy("key", "hash").agg(F.min_by(whole, F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256)).alias("r")).select("r.*")
+        left = left.join(again, ["key", "hash"], "left_anti").select(*names).union(one)
+    return left.select(*[F.col(n).alias(c) for n, c in names.items()])
