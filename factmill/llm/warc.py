@@ -1,9 +1,9 @@
 """WARC archives as a PySpark Python data source, for reading and writing.
 
 Writing: each task writes archives of bounded size, one gzip member per record, and the driver then publishes their names
-in a manifest, so what failed or repeated tasks leave behind is never read. A member carries its own length in a gzip
-extra field. Reading: the driver plans the files into partitions by size and takes over predicates on the columns that
-come from record headers; a task inflates only the start of a member, parses the headers, tests the predicates, and
+in a manifest, so what failed or repeated tasks leave behind is never read. The manifest also has places at which an
+archive can be parted. A member carries its own length in a gzip extra field. Reading: the driver plans the files, or
+parts of them, into partitions by size and takes over predicates on the columns that come from record headers; a task inflates only the start of a member, parses the headers, tests the predicates, and
 goes to the next member by its length, so payloads that are not wanted are never inflated. Archives of other programs
 (plain, or with members without the extra field) are read too. Files are opened through pyarrow's file systems, so a path
 may be a local one or a URI.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from factmill.llm.common import bound_batches, file_system, read, shared_path
+from factmill.llm.common import bound_batches, cut, file_system, read, shared_path, slot
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 _TYPES = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in SCHEMA.split(", ")])
@@ -42,6 +42,8 @@ _HEADERS = {
 }
 FILE_BYTES = 256 << 20
 PARTITION_BYTES = 64 << 20
+#: Bytes between the places at which an archive can be parted.
+CUT_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]+")
@@ -113,6 +115,12 @@ class _Window:
             self.data += more
         return True
 
+    def more(self) -> bool:
+        """Read on, as much as is held already, so that what grows is copied a bounded number of times; False at the end."""
+        had = len(self.data)
+        self.need(had + max(self.step, had))
+        return len(self.data) > had
+
     def drop(self, n: int) -> None:
         if n <= len(self.data):
             self.data = self.data[n:]
@@ -122,6 +130,21 @@ class _Window:
         self.at += n
 
 
+def _inflated(w: _Window, keep: bool) -> tuple[bytes, int]:
+    """The content of the member at the window's start (nothing, unless it is kept) and the member's length. Every byte is
+    inflated once, in bounded steps."""
+    z, parts, used = zlib.decompressobj(31), [], 0
+    while not z.eof:
+        if used == len(w.data) and not w.more():
+            raise ValueError("an archive ends within a record")
+        step = w.data[used : used + (1 << 18)]
+        got = z.decompress(step)
+        used += len(step)
+        if keep:
+            parts.append(got)
+    return b"".join(parts), used - len(z.unused_data)
+
+
 def _length(data: bytes) -> int | None:
     """A member's length, if it carries one."""
     if len(data) >= 20 and data[3] & 4 and data[12:14] == b"FM":
@@ -129,10 +152,11 @@ def _length(data: bytes) -> int | None:
     return None
 
 
-def records(f, packed: bool, wanted, payload: bool) -> Iterator[dict]:
-    """Rows of the records whose headers pass wanted(row); payloads are inflated only for those, and only if asked for."""
+def records(f, packed: bool, wanted, payload: bool, size: int | None = None) -> Iterator[dict]:
+    """Rows of the records whose headers pass wanted(row); payloads are inflated only for those, and only if asked for.
+    size: no record that begins so many bytes after the file's place, or later, is read."""
     w = _Window(f)
-    while w.need(1):
+    while (size is None or w.at < size) and w.need(1):
         if packed:
             w.need(20)
             n = _length(w.data)
@@ -141,7 +165,7 @@ def records(f, packed: bool, wanted, payload: bool) -> Iterator[dict]:
             z = zlib.decompressobj(31)
             raw = z.decompress(w.data, 1 << 13)
             while b"\r\n\r\n" not in raw and not z.eof:
-                if not z.unconsumed_tail and not w.need(len(w.data) + 1):
+                if not z.unconsumed_tail and not w.more():
                     raise ValueError("an archive ends within a record")
                 z = zlib.decompressobj(31)
                 raw = z.decompress(w.data, 2 * len(raw) + (1 << 13))
@@ -150,38 +174,31 @@ def records(f, packed: bool, wanted, payload: bool) -> Iterator[dict]:
             row = row_of(headers)
             take = wanted(row)
             if n is None or (take and payload):
-                while True:
-                    if n is not None:
-                        w.need(n)
-                    z = zlib.decompressobj(31)
-                    raw = z.decompress(w.data)
-                    if z.eof:
-                        n = len(w.data) - len(z.unused_data)
-                        break
-                    if not w.need(len(w.data) + 1):
-                        raise ValueError("an archive ends within a record")
+                if n is not None:
+                    w.need(n)
+                raw, n = _inflated(w, take and payload)
             if take:
                 if payload:
-                    size = int(headers.get("content-length", "0"))
-                    row["payload"] = payload_of(headers, raw[len(head) + 4 : len(head) + 4 + size])
+                    block = int(headers.get("content-length", "0"))
+                    row["payload"] = payload_of(headers, raw[len(head) + 4 : len(head) + 4 + block])
                 yield row
             w.drop(n)
         else:
             while b"\r\n\r\n" not in w.data:
-                if not w.need(len(w.data) + 1):
+                if not w.more():
                     if w.data.strip():
                         raise ValueError("an archive ends within a record")
                     return
             head = w.data.partition(b"\r\n\r\n")[0]
             headers = parse_headers(head.lstrip(b"\r\n"))
-            size, row = int(headers.get("content-length", "0")), row_of(headers)
+            block, row = int(headers.get("content-length", "0")), row_of(headers)
             w.drop(len(head) + 4)
             if wanted(row):
                 if payload:
-                    w.need(size)
-                    row["payload"] = payload_of(headers, w.data[:size])
+                    w.need(block)
+                    row["payload"] = payload_of(headers, w.data[:block])
                 yield row
-            w.drop(size + 4)
+            w.drop(block + 4)
 
 
 # --- the data source
@@ -189,12 +206,16 @@ def records(f, packed: bool, wanted, payload: bool) -> Iterator[dict]:
 
 @dataclass
 class _Files(InputPartition):
-    names: tuple[str, ...]
+    """Files with the places from and to which they are read."""
+
+    parts: tuple[tuple[str, int, int], ...]
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    names: list[str]
+    """Archives, each with the places at which it can be parted."""
+
+    files: dict[str, list[int]]
 
 
 def _test(f):
@@ -236,26 +257,34 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         system, base = file_system(self.path)
         info = [system.get_file_info(base)]
+        cuts: dict[str, list[int]] = {}
         if info[0].type == pafs.FileType.Directory:
             info = [i for i in system.get_file_info(pafs.FileSelector(base)) if i.is_file]
             lists = [i for i in info if i.base_name.startswith("_manifest-")]
             if lists:
-                names: set[str] = set()
                 for i in lists:
                     with system.open_input_stream(i.path) as f:
-                        names.update(json.loads(f.read()))
-                info = [i for i in info if i.base_name in names]
+                        cuts |= json.loads(f.read())
+                info = [i for i in info if i.base_name in cuts]
             info = [i for i in info if i.base_name.endswith((".warc", ".warc.gz"))]
         elif info[0].type == pafs.FileType.NotFound:
             raise FileNotFoundError(self.path)
-        parts: list[list[str]] = []
+        ranges = []
+        for i in info:
+            places = [0, *cuts.get(i.base_name, []), i.size]
+            begin = 0
+            for a, b in zip(places[1:], [*places[2:], None]):
+                if b is None or b - begin > self.most:
+                    ranges.append((i.path, begin, a))
+                    begin = a
+        parts: list[list[tuple[str, int, int]]] = []
         room = 0
-        for i in sorted(info, key=lambda i: (-i.size, i.path)):
-            if room < i.size or not parts:
+        for r in sorted(ranges, key=lambda r: (r[1] - r[2], r)):
+            if room < r[2] - r[1] or not parts:
                 parts.append([])
                 room = self.most
-            parts[-1].append(i.path)
-            room -= i.size
+            parts[-1].append(r)
+            room -= r[2] - r[1]
         return [_Files(tuple(p)) for p in parts] or [_Files(())]
 
     def read(self, partition):
@@ -263,9 +292,10 @@ class WarcReader(DataSourceReader):
         wanted = lambda row: all(t(row) for t in tests)
         system, _ = file_system(self.path)
         rows, held = [], 0
-        for name in partition.names:
+        for name, begin, end in partition.parts:
             with system.open_input_file(name) as f:
-                for row in records(f, name.endswith(".gz"), wanted, self.payload):
+                f.seek(begin)
+                for row in records(f, name.endswith(".gz"), wanted, self.payload, end - begin):
                     rows.append(row)
                     held += 300 + len(row["payload"] or b"")
                     if held > BATCH_BYTES:
@@ -283,38 +313,42 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator):
         system, base = file_system(self.path)
         system.create_dir(base, recursive=True)
-        names, out, size = [], None, 0
+        files: dict[str, list[int]] = {}
+        out, size, cuts = None, 0, []
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
                     if out is None or size > self.most:
                         if out is not None:
                             out.close()
-                        names.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                        out, size = system.open_output_stream(posixpath.join(base, names[-1]), compression=None, buffer_size=1 << 20), 0
+                        name, size, cuts = f"part-{uuid.uuid4().hex}.warc.gz", 0, []
+                        files[name] = cuts
+                        out = system.open_output_stream(posixpath.join(base, name), compression=None, buffer_size=1 << 20)
+                    if size - (cuts[-1] if cuts else 0) >= CUT_BYTES:
+                        cuts.append(size)
                     raw = member(record(row), self.level)
                     out.write(raw)
                     size += len(raw)
         finally:
             if out is not None:
                 out.close()
-        return _Written(names)
+        return _Written(files)
 
     def commit(self, messages) -> None:
         system, base = file_system(self.path)
         system.create_dir(base, recursive=True)
         old = [i for i in system.get_file_info(pafs.FileSelector(base)) if i.is_file] if self.overwrite else []
-        names = [n for m in messages if m for n in m.names]
+        files = {n: cuts for m in messages if m for n, cuts in m.files.items()}
         with system.open_output_stream(posixpath.join(base, f"_manifest-{uuid.uuid4().hex}"), compression=None) as f:
-            f.write(json.dumps(names).encode())
+            f.write(json.dumps(files).encode())
         for i in old:
-            if i.base_name not in names:
+            if i.base_name not in files:
                 system.delete_file(i.path)
 
     def abort(self, messages) -> None:
         system, base = file_system(self.path)
         for m in messages:
-            for n in m.names if m else ():
+            for n in m.files if m else ():
                 system.delete_file(posixpath.join(base, n))
 
 
@@ -357,15 +391,28 @@ LEAST_REVISIT = 100
 
 
 def capture(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Records of pages: of those with equal payloads the smallest id is a response and the others revisit it. Only the
-    smallest id of digests that repeat is joined back, after partial aggregation; AQE splits a digest that many pages
-    share. A page without an id is a response of its own."""
+    """Records of pages: of those with equal payloads the smallest id is a response and the others revisit it. A page
+    without an id is a response of its own.
+
+    Only ids and digests are shuffled to find the revisits. A filter of fixed size over these, broadcast as a table, parts
+    the pages: those that it shuts out are responses and go through no shuffle; the others, which are revisits but for a
+    few, are joined with them. AQE splits a digest that many pages share."""
     rows = pages.select(F.col(id_col).alias("k"), F.col(url_col).alias("target_uri"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    first = rows.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    long_ = rows.filter((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("k").isNotNull()).select("k", "digest")
+    first = long_.groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").drop("last")
+    revisits = cut(long_.join(first, "digest").filter("first < k").distinct())
+    bit = slot(F.struct("k", "digest")) + 1
+    bits = revisits.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
+    place = F.expr("bitmap_bit_position(b)")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    rows = rows.withColumn("b", bit).withColumn("part", F.expr("bitmap_bucket_number(b)"))
+    rows = rows.join(F.broadcast(bits), "part", "left").withColumn("hit", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+    rows = rows.drop("part", "bits", "b")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    again = F.col("first") < F.col("k")
-    return rows.join(first, "digest", "left").select(
+    again = F.col("first").isNotNull()
+    joined = rows.filter("hit").join(revisits, ["k", "digest"], "left").unionByName(rows.filter("not hit").withColumn("first", F.lit(None).cast(dict(rows.dtypes)["k"])))
+    return joined.select(
         urn(F.col("k")).alias("record_id"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         "target_uri",

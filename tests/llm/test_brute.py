@@ -278,6 +278,67 @@ def test_components_of_paths_and_stars(spark):
     assert got == label
 
 
+def brute_components(texts, size=2):
+    """Components by plain sets; only pairs whose sizes allow a link are compared."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        sets[i] = {tuple(w[j : j + size]) for j in range(max(1, len(w) - size + 1))} if w else set()
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    order = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            if 100 * len(sets[a]) < 80 * len(sets[b]):
+                break
+            if root(a) != root(b):
+                common = len(sets[a] & sets[b])
+                if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                    x, y = sorted((root(a), root(b)))
+                    up[y] = x
+    return {i: root(i) for i in sets}
+
+
+def test_near_duplicates_of_a_thousand_documents(spark):
+    df = read(spark, "/root/testdata/sf0.01", "documents")
+    want = brute_components({r["doc_id"]: r["text"] or "" for r in df.collect()})
+    assert {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df).collect()} == want
+
+
+@pytest.mark.parametrize("bits, bucket, rows, pivots", [(-1, 128, 2048, 64), (-1, 4, 2048, 64), (16, 128, 7, 1), (-1, 128, 7, 3)])
+def test_chains_of_near_copies(spark, monkeypatch, bits, bucket, rows, pivots):
+    """Chains whose neighbours alone are linked, over compared and large buckets, several blocks and few pivots."""
+    for k, v in {"FAR_BITS": bits, "BUCKET": bucket, "BLOCK_ROWS": rows, "PIVOTS": pivots}.items():
+        monkeypatch.setattr(near, k, v)
+    rng = random.Random(11)
+    texts, n = {}, 0
+    for _ in range(3):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(25):
+            w = list(w)
+            for _ in range(rng.choice([2, 3, 5])):
+                w[rng.randrange(100)] = f"n{rng.randrange(10**6)}"
+            texts[n] = " ".join(w)
+            n += 1
+    ids = list(texts)
+    rng.shuffle(ids)
+    texts = {i: texts[k] for i, k in zip(ids, texts)}
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = brute_components(texts)
+    assert got == want and 3 <= len(set(want.values())) < 40
+
+
+def test_components_with_centres_of_many_edges(spark):
+    edges = [(1000, 2000 + i) for i in range(900)] + [(5, 1000), (3, 5)] + [(2500, 7000 + i) for i in range(500)] + [(9000, 9001 + i) for i in range(400)]
+    got = {r["id"]: r["comp"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[x] for e in edges[:1402] for x in e} == {3} and {got[x] for e in edges[1402:] for x in e} == {9000}
+
+
 def test_pigeonhole_guarantee():
     keys = lambda s: {(c, out, tuple(v for p, v in enumerate(s[c * near.PLACES : (c + 1) * near.PLACES]) if p != out)) for c in range(near.CHUNKS) for out in range(near.PLACES)}
     rng = random.Random(9)
@@ -487,6 +548,48 @@ def test_foreign_archives(spark, tmp_path):
     assert "Filter" not in df._jdf.queryExecution().executedPlan().toString().split("RuntimeFilters")[0]
 
 
+def test_archives_are_read_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CUT_BYTES", 2000)
+    rng = random.Random(7)
+    rows = [(f"<urn:page:{i}>", "response", bytes(rng.randrange(256) for _ in range(rng.randrange(900)))) for i in range(60)]
+    path = f"file://{tmp_path}/w"
+    writer = warc.WarcWriter({"path": path}, False)
+    writer.commit([writer.write(iter([warc.pa.RecordBatch.from_pylist([{"record_id": i, "record_type": t, "payload": p} for i, t, p in rows])]))])
+    for most in (1, 5000, 10**6):
+        reader = warc.WarcReader({"path": path, "payload": "true", "partitionBytes": str(most)})
+        parts = reader.partitions()
+        got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert (len(parts) > 1) == (most < 10**6) and sorted((r["record_id"], r["payload"]) for r in got) == sorted((i, p) for i, _, p in rows)
+
+
+def test_members_without_a_length_are_inflated_once(monkeypatch):
+    import gzip
+
+    data = gzip.compress(warc.record({"record_id": "1", "record_type": "response", "payload": random.Random(1).randbytes(5 << 20)})) * 2
+    fed = []
+    real = warc.zlib.decompressobj
+
+    class Counted:
+        def __init__(self, *a):
+            self.z = real(*a)
+
+        def decompress(self, x, *a):
+            out = self.z.decompress(x, *a)
+            fed.append(len(x) - len(self.z.unconsumed_tail))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.z, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    assert len(list(warc.records(io.BytesIO(data), True, lambda r: True, True))) == 2 and sum(fed) < 1.2 * len(data)
+
+
+def test_only_possible_revisits_are_shuffled(spark, small):
+    plan = warc.capture(read(spark, small, "pages"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Union" in plan
+
+
 def test_unwanted_payloads_are_not_inflated(monkeypatch):
     data = b"".join(warc.member(warc.record({"record_id": f"{i}", "record_type": "response", "payload": b"x" * 10**6})) for i in range(3))
     sizes = []
