@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factmill.llm import decontaminate, language, near, pieces, secret_scan
-from factmill.llm.common import crc_mod, read, shared_path
+from factmill.llm.common import crc_mod, read, remove, shared_path
 
 #: Before the names of columns that an operator adds, so that they can't clash with those of documents.
 OWN = "_op_"
@@ -31,10 +31,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less than a twentieth of whose words are in benchmark windows."""
+    """Documents none of whose words are in a benchmark window, however long they are: a passage of a test that stays in a
+    long document is learned as well as one in a short document."""
     found = decontaminate.find(docs, read(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), prefix=OWN)
-    _, contaminated = decontaminate.verdict(OWN)
-    return found.filter(~contaminated).select(*docs.columns)
+    return found.filter(F.size(OWN + "starts") == 0).select(*docs.columns)
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,12 +76,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage returns is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents. What a stage returns is written to the shared folder and read again; it is deleted when
+    the next stage's is written, so only the last but one is left, of which the result is made."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = shared_path(spark, f"pipeline-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(before)
+            before = path
     return docs
