@@ -1,8 +1,7 @@
-"""The queries of this subpackage and their SQL, for __spark_entry__.py."""
+"""The queries of this subpackage and their SQL, for __spark_entry__.py, which adds the pipeline itself."""
 
 from __future__ import annotations
 
-from corpus_pipeline import run as pipeline
 from factmill.llm.decontaminate import op7_decontamination
 from factmill.llm.language import op5_language
 from factmill.llm.near import op9_near_duplicates
@@ -25,7 +24,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_secrets": op10_secrets,
-    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_warc": OP8_SQL}

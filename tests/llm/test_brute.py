@@ -628,3 +628,29 @@ def test_pipeline(spark, small, run, docs):
     assert not [1 for n, a in enumerate(ids) for b in ids[:n] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     clean = corpus_pipeline.replace_secrets(spark, d, small).collect()
     assert all(not base_secrets(r["text"]) and r["n_chars"] == len(r["text"]) for r in clean) and len(clean) == len(docs)
+
+
+def test_decontaminated_texts_hold_no_window(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.01"
+    d = read(spark, folder, "documents")
+    windows = {w for r in read(spark, folder, "benchmark").collect() for w in decontaminate.windows_of(decontaminate.words_of(r["text"]))}
+    sizes = {len(w) for w in windows}
+
+    def clean(text):
+        w = decontaminate.words_of(text)
+        return not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, d, folder).collect()}
+    assert kept == {r["doc_id"] for r in d.collect() if clean(r["text"])} and len(kept) < d.count()
+
+
+def test_language_stage_keeps_what_is_near(spark, small):
+    import corpus_pipeline
+
+    d = read(spark, small, "documents")
+    model = language.fit(d.filter(crc_mod("doc_id", 5) != 0))
+    rows = d.select("doc_id", "text").collect()
+    want = {r["doc_id"] for r, (_, _, rejected) in zip(rows, model.predict([r["text"] for r in rows])) if not rejected}
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, d, small).collect()} == want
