@@ -72,10 +72,11 @@ class Model:
                 own[code] = own.get(code, 0) + 1
         # The n-grams that are in the largest share of the texts of some language.
         of = {x: langs.count(x) for x in self.langs}
+        least = min(2, max(counts.values(), default=0))  # n-grams of a single text tell nothing, unless there are no others
         share: dict[int, float] = {}
         for x, own in per_lang.items():
             for c, n in own.items():
-                if counts[c] > 1:
+                if counts[c] >= least:
                     share[c] = max(share.get(c, 0.0), n / of[x])
         chosen = sorted(share, key=lambda c: (-share[c], c))[:size]
         self.codes = np.array(sorted(chosen), np.int64)
@@ -96,7 +97,7 @@ class Model:
             own = np.concatenate([cos for j, cos in zip(self.owner, near, strict=True) if j == i])
             own = own if len(own) * REJECT_QUANTILE >= 2 else every
             self.limit.append(float(np.quantile(own, REJECT_QUANTILE)) - 1e-6 if len(own) > 1 else 0.0)
-        self.centroids = np.array(self.centroids).reshape(-1, len(self.codes))
+        self.centroids = np.array(self.centroids).reshape(len(self.owner), len(self.codes))
         self.owner, self.limit = np.array(self.owner, int), np.array(self.limit)
 
     @staticmethod
