@@ -13,6 +13,8 @@ from factmill.llm.common import bound_batches, cut, id_filter, slot
 
 #: Ids that a task's union-find holds before it gives out what it has found and starts anew.
 MOST_IDS = 1_000_000
+#: So few edges are joined by one task, without rounds.
+FEW_EDGES = 200_000
 
 
 class _Forest:
@@ -45,7 +47,7 @@ def _routed(pairs: DataFrame) -> DataFrame:
     pass wrongly is only dealt to more tasks than it needs."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = pairs.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > max(100, 2 * parts))
+    hot = pairs.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > max(100, parts))
     if hot.isEmpty():
         ends = [F.struct(F.col(a).alias("node"), F.lit(0).alias("part"), F.col(b).alias("other")) for a, b in ("uv", "vu")]
         return pairs.select(F.explode(F.array(*ends)).alias("e")).select("e.*")
@@ -70,7 +72,7 @@ def _routed(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id and comp, the smallest id of its component, for every id of the edges (edges of an id to itself count for nothing).
 
-    In each round every edge goes to the tasks of both its ends, sorted by that end; a task joins all it gets by union-find
+    At most FEW_EDGES edges are joined by one task. Of more, in each round every edge goes to the tasks of both its ends, sorted by that end; a task joins all it gets by union-find
     and gives each id an edge to its smallest known id. All edges of an id from larger to smaller ids meet in every part of
     it, so a round that changes nothing leaves only edges to the smallest id of a component. Rounds grow as the logarithm
     of the longest path; a task holds at most MOST_IDS ids, as it gives out its edges and goes on with the current id's
@@ -93,6 +95,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 forest.join(node, other)
         yield forest.out()
 
+    def unite_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                forest.join(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(forest.up), pa.int64()), pa.array([forest.root(x) for x in list(forest.up)], pa.int64())], ["id", "comp"])
+
+    if pairs.count() <= FEW_EDGES:
+        return cut(pairs.repartition(1).mapInArrow(unite_all, "id long, comp long"))
     mark = None
     while True:
         both = _routed(pairs).repartition("node", "part").sortWithinPartitions("node", "part", "other")

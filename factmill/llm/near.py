@@ -177,20 +177,21 @@ def _close(groups: DataFrame, classes: DataFrame) -> DataFrame:
 def candidate_links(classes: DataFrame) -> DataFrame:
     """Links a, b of classes that share a bucket, through its head or, where some member is far from that, as _close() does."""
     keys = bucket_keys(classes)
-    heads = keys.groupBy("key").agg(F.min(F.struct("rep", "sketch")).alias("h"), F.count("*").alias("members"))
-    heads = heads.filter("members > 1").select("key", F.col("h.rep").alias("head"), F.col("h.sketch").alias("top"), "members")
-    far = F.bit_count(F.col("sketch").bitwiseXOR(F.col("top"))) > FAR_BITS
-    small = keys.join(heads.filter(F.col("members") <= BUCKET), "key").groupBy("key").agg(
-        F.first("head").alias("head"), F.max(far).alias("far"), F.array_sort(F.collect_list("rep")).alias("reps")
+    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("members")).filter("members > 1")
+    # Arrays of about BUCKET members at most; those of a larger bucket are parted by hash and share its head.
+    part = F.when(F.col("members") > BUCKET, F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BUCKET))).otherwise(0)
+    groups = keys.join(heads, "key").groupBy("key", part.alias("part")).agg(
+        F.first("head").alias("head"), F.first("members").alias("members"), F.array_sort(F.collect_list(F.struct("rep", "sketch"))).alias("m")
     )
-    small = small.groupBy("reps").agg(F.first("head").alias("head"), F.max("far").alias("far"))  # many buckets of copies hold the same
-    small = cut(small)
-    large = keys.join(heads.filter(F.col("members") > BUCKET), "key").filter("rep <> head").select("rep", "head")
-    stars = small.filter("not far").select(F.explode("reps").alias("rep"), "head").filter("rep <> head").union(large)
+    top = F.col("m")[0]["sketch"]
+    far = (F.col("members") <= BUCKET) & F.exists("m", lambda x: F.bit_count(x["sketch"].bitwiseXOR(top)) > FAR_BITS)
+    groups = groups.select(F.col("m.rep").alias("reps"), "head", far.alias("far"))
+    groups = cut(groups.groupBy("reps", "head").agg(F.max("far").alias("far")))  # many buckets of copies hold the same
+    stars = groups.filter("not far").select(F.explode("reps").alias("rep"), "head").filter("rep <> head")
     # A class has at most one head for each of its keys; joined through the smallest of them, its links are few.
     own = stars.groupBy("rep").agg(F.min("head").alias("low"), F.collect_set("head").alias("others"))
     through = own.select(F.explode("others").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-    return own.select(F.col("rep").alias("a"), F.col("low").alias("b")).union(through).union(_close(small.filter("far"), classes))
+    return own.select(F.col("rep").alias("a"), F.col("low").alias("b")).union(through).union(_close(groups.filter("far"), classes))
 
 
 def full_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:

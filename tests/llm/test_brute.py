@@ -266,7 +266,9 @@ def test_large_group_of_near_copies_over_several_blocks(spark, monkeypatch):
     assert got == label
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_paths_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 200)] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(150)]
     got = {r["id"]: r["comp"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -333,7 +335,9 @@ def test_chains_of_near_copies(spark, monkeypatch, bits, bucket, rows, pivots):
     assert got == want and 3 <= len(set(want.values())) < 40
 
 
-def test_components_with_centres_of_many_edges(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_with_centres_of_many_edges(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     edges = [(1000, 2000 + i) for i in range(900)] + [(5, 1000), (3, 5)] + [(2500, 7000 + i) for i in range(500)] + [(9000, 9001 + i) for i in range(400)]
     got = {r["id"]: r["comp"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[x] for e in edges[:1402] for x in e} == {3} and {got[x] for e in edges[1402:] for x in e} == {9000}
