@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from factmill import fixed
 from factmill.functions import text as T
+from factmill.session import cut, number_rows
 
+#: Rows that permuted() takes.
+MOST_PERMUTED = 100_000
 LABELS = ("correct", "made_up", "refusal", "wrong", "error")
 
 
@@ -23,8 +26,10 @@ def hash_order(seed: int, *keys: str) -> Column:
 
 def permuted(df: DataFrame, seed: int, order: list[str], name: str = "_p") -> DataFrame:
     """Each row's place in the seeded Mersenne Twister shuffle of the table in order. The permutation depends on the seed
-    and the number of rows alone, which is at most a few thousand here."""
-    n = df.count()
+    and the number of rows alone and is made on the driver, so more than MOST_PERMUTED rows are an error; hash_order()
+    shuffles tables of any size."""
+    if (n := df.count()) > MOST_PERMUTED:
+        raise ValueError(f"{n} rows are too many for this shuffle, of which the limit is {MOST_PERMUTED}")
     places = list(range(n))
     random.Random(seed).shuffle(places)
     moved = df.sparkSession.createDataFrame([(old, new) for new, old in enumerate(places)] or [], "_o long, " + name + " long")
@@ -52,7 +57,7 @@ def build_questions(units: DataFrame, title: str, excluded: DataFrame, n: int =
     """Fill-in questions on n evenly chosen units, shuffled and then numbered."""
     from factmill.operators.facts import even_sample
 
-    pool = eligible(units, excluded)
+    pool = cut(eligible(units, excluded))
     if (have := pool.count()) < n:
         raise ValueError(f"{have} units can be asked about, {n} are needed")
     rows = even_sample(pool, n, ["id"]).select(
@@ -182,9 +187,9 @@ def eval_summary(records: DataFrame, by: list[str]) -> DataFrame:
 def blind(records: DataFrame, seed: int = 1234) -> DataFrame:
     """Pooled answers of both stages in seeded hash order with ids a001 and so on. What a judge may see: id, set, question,
     expected, passage, answer. The rest is the key."""
-    order = Window.orderBy(hash_order(seed, "source", "set", "question_id"), "source", "set", "question_id")
-    return records.select(
-        T.serial("a", F.row_number().over(order), 3).alias("id"),
+    numbered, _ = number_rows(records, [hash_order(seed, "source", "set", "question_id"), "source", "set", "question_id"], "_n")
+    return numbered.select(
+        T.serial("a", "_n", 3).alias("id"),
         "set", "question", F.col("reference_answer").alias("expected"),
         F.when(F.col("set") == "knowledge", F.coalesce(F.nullif("passage", F.lit("")), F.col("reference_answer"))).otherwise(F.col("reference_answer")).alias("passage"),
         F.when(F.coalesce("model_answer", F.lit("")) == "", fixed.NO_ANSWER).otherwise(F.col("model_answer")).alias("answer"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factmill import fixed
 from factmill.functions import text as T
 from factmill.operators import terms as X
+from factmill.session import cut, number_rows
 
 
 def with_context(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents") -> DataFrame:
@@ -53,11 +54,23 @@ def score(freq: T.ColumnLike, true_definition: T.ColumnLike) -> Column:
     return F.lit(1.0) / (1 + freq) + F.when(true_definition, 0.5).otherwise(0.0)
 
 
+def sentence_terms(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents") -> DataFrame:
+    """Every sentence of every paragraph with its terms."""
+    return T.unnest(paragraphs, sents, "sent", "sentence", [*chapter, order]).withColumn("terms", X.term_candidates("sentence"))
+
+
+def example_terms(rows: DataFrame, freq: DataFrame, keys: list[str], example: str = "example") -> DataFrame:
+    """rows with example_key_term, the rarest term of the example by the frequencies of the corpus (null without a term).
+    keys tell the rows apart."""
+    best = X.choose_key_term(rows.select(*keys, X.term_candidates(example).alias("terms")), freq, keys)
+    return rows.join(best.select(*keys, F.col("key_term").alias("example_key_term")), keys, "left")
+
+
 def candidates(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents") -> DataFrame:
     """with_context() with key_term, freq and score; frequencies count every sentence of every paragraph. Terms are found
     once for each sentence, and the choice is joined back by the sentence's place."""
     keys = [*chapter, order, "sent"]
-    sentences = T.unnest(paragraphs, sents, "sent", "sentence", [*chapter, order]).withColumn("terms", X.term_candidates("sentence"))
+    sentences = sentence_terms(paragraphs, chapter, order, sents)
     freq = X.term_frequency(sentences)
     chosen = X.choose_key_term(sentences.filter(T.is_good_fact("sentence")), freq, keys)
     rows = with_context(paragraphs, chapter, order, sents).join(chosen, keys)
@@ -74,13 +87,10 @@ def capped(df: DataFrame, fact: str, term: str, by: list[Column], cap: int = 2)
 def even_sample(df: DataFrame, k: int, by: list[str]) -> DataFrame:
     """k rows spread evenly in order (all, if there are no more): places int(i * (n / k)) in double arithmetic. The chosen
     places are few; rows are numbered by a sort over all tasks, not by a window in one."""
-    n = df.count()
+    numbered, n = number_rows(df, by, "_n", 0)
     if k >= n:
-        return df
-    spark = df.sparkSession
-    ordered = df.orderBy(*by)
-    numbered = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), ordered.schema.add("_n", "long", False))
-    places = spark.range(k).select((F.col("id") * (F.lit(float(n)) / k)).cast("long").alias("_n"))
+        return numbered.drop("_n")
+    places = df.sparkSession.range(k).select((F.col("id") * (F.lit(float(n)) / k)).cast("long").alias("_n"))
     return numbered.join(F.broadcast(places), "_n").drop("_n")
 
 
@@ -174,6 +184,7 @@ def histogram(report: DataFrame, by: str) -> DataFrame:
 def top_up(units: DataFrame, fresh: DataFrame, minimum: int = fixed.MIN_UNITS, order: tuple[str, ...] = ("position",)) -> DataFrame:
     """Units and, if they are too few, further candidates: none whose fact is there already, none whose term is used twice;
     ids go on after the largest."""
+    units = cut(units)
     have = units.agg(F.count("*").alias("n"), F.max(F.substring("id", 2, 18).try_cast("long")).alias("top")).first()
     if (needed := minimum - have["n"]) <= 0:
         return units

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factmill import fixed
 from factmill.functions import text as T
+from factmill.session import number_rows
 
 
 def split_sentences(c: T.ColumnLike) -> Column:
@@ -97,12 +98,8 @@ def form_feeds(c: T.ColumnLike) -> Column:
 
 
 def number_sentences(sentences: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """A dense number from 1 over the whole table in order, without a single-task window: rows are sorted over all tasks
-    and numbered by their task's offset."""
-    ordered = sentences.orderBy(*order)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    schema = ordered.schema.add(name, "long", False)
-    return sentences.sparkSession.createDataFrame(numbered, schema)
+    """A dense number from 1 over the whole table in order, without a single-task window."""
+    return number_rows(sentences, order, name)[0]
 
 
 def document_paragraphs(docs: DataFrame, fold: bool = True) -> DataFrame:

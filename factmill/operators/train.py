@@ -84,7 +84,8 @@ def mask_labels(examples: DataFrame, prompt_ids: str, answer_ids: str, max_lengt
 
 
 def pad_batches(rows: DataFrame, batch: str, pad_id: int) -> DataFrame:
-    """All rows of a batch as long as its longest: ids padded on the right, mask 0, labels ignored."""
+    """All rows of a batch as long as its longest: ids padded on the right, mask 0, labels ignored. A batch is what a training
+    step takes, a bounded number of rows."""
     gap = F.max(F.size("input_ids")).over(Window.partitionBy(batch)) - F.size("input_ids")
     rows = rows.withColumn("_gap", gap)
     fill = lambda c, v: F.concat(F.col(c), F.array_repeat(F.lit(v), F.col("_gap"))).alias(c)
@@ -95,8 +96,7 @@ def pad_batches(rows: DataFrame, batch: str, pad_id: int) -> DataFrame:
 def word_ids(c: T.ColumnLike) -> Column:
     """A stand-in for a tokenizer: a number below 50000 for each word."""
     c = F.col(c) if isinstance(c, str) else c
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long").mod(F.lit(50_000)).cast("int") if hasattr(Column, "mod") else (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % 50_000).cast("int"))
+    return F.transform(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % 50_000).cast("int"))
 
 
 def schedule(examples: Column, epochs: Column, batch: Column, accumulate: Column, warmup: Column, cap: bool = True) -> tuple[Column, Column]:

@@ -12,7 +12,7 @@ from factmill.functions import text as T
 from factmill.operators import exam, facts, segment, train
 from factmill.operators import terms as X
 from factmill.plans import sqltext as S
-from factmill.session import spread
+from factmill.session import cut, spread
 from factmill.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,13 +209,14 @@ def even_sample(spark, d):
     return facts.even_sample(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 300, ["o_orderkey"])
 
 
+TARGET, MINIMUM, ASKED = fixed.TARGET_UNITS, fixed.MIN_UNITS, fixed.QUESTIONS["knowledge"]
 UNITS_SQL = S.CANDIDATES + "," + S.capped("cap", "cand", ORDER) + f""",
-pool AS (SELECT * FROM cap ORDER BY {ORDER} LIMIT 200),
+pool AS (SELECT * FROM cap ORDER BY {ORDER} LIMIT {2 * TARGET}),
 numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, para, sent) - 1 AS i, count(*) OVER () AS c FROM pool),
-picks AS (SELECT DISTINCT CAST(floor(g * (c::DOUBLE / 100)) AS BIGINT) AS i FROM (SELECT max(c) AS c FROM numbered), generate_series(0, 99) AS s(g)),
-chosen AS (SELECT * FROM numbered WHERE c <= 100 UNION ALL SELECT * FROM numbered SEMI JOIN picks USING (i) WHERE c > 100),
-ut0 AS (SELECT doc_id, para, sent, example FROM chosen),{S.terms('et', 'ut0', 'doc_id, para, sent', 'example')},
-ex AS (SELECT doc_id, para, sent, term AS example_key_term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, para, sent ORDER BY -length(term), ord) AS r FROM et) WHERE r = 1),
+picks AS (SELECT DISTINCT CAST(floor(g * (c::DOUBLE / {TARGET})) AS BIGINT) AS i FROM (SELECT max(c) AS c FROM numbered), generate_series(0, {TARGET - 1}) AS s(g)),
+chosen AS (SELECT * FROM numbered WHERE c <= {TARGET} UNION ALL SELECT * FROM numbered SEMI JOIN picks USING (i) WHERE c > {TARGET}),
+ut0 AS (SELECT doc_id, para, sent, example FROM chosen),{S.terms('et', 'ut0', 'doc_id, para, sent', 'example')},{S.chosen('ek', 'et', 'freq', 'doc_id, para, sent')},
+ex AS (SELECT doc_id, para, sent, key_term AS example_key_term FROM ek),
 units AS (
   SELECT printf('u%04d', row_number() OVER (ORDER BY doc_id, para, sent)) AS id, doc_id || ':' || (para + 1) AS link, fact, definition, example, key_term, example_key_term
   FROM chosen LEFT JOIN ex USING (doc_id, para, sent)
@@ -223,11 +224,17 @@ units AS (
 )"""
 
 
+PLACE = ("doc_id", "para", "sent")
+
+
 def _units(spark, d) -> DataFrame:
-    rows = _candidates(spark, d)
-    picked = facts.select_units(rows, 100, ("doc_id", "para", "sent"))
-    picked = picked.withColumn("link", F.concat_ws(":", "doc_id", F.col("para") + 1)).withColumn("example_key_term", X.longest_term(X.term_candidates("example")))
-    return facts.to_units(picked, ["doc_id", "para", "sent"])[0].select("id", "link", "fact", "definition", "example", "key_term", "example_key_term")
+    picked = facts.select_units(_candidates(spark, d), TARGET, PLACE)
+    return facts.to_units(cut(_with_example_terms(spark, d, picked)), list(PLACE))[0].select("id", "link", "fact", "definition", "example", "key_term", "example_key_term")
+
+
+def _with_example_terms(spark, d, rows: DataFrame) -> DataFrame:
+    linked = rows.withColumn("link", F.concat_ws(":", "doc_id", F.col("para") + 1))
+    return facts.example_terms(linked, X.term_frequency(_terms(spark, d)), list(PLACE))
 
 
 @query(f"WITH {UNITS_SQL} SELECT * FROM units")
@@ -235,6 +242,18 @@ def units(spark, d):
     return _units(spark, d)
 
 
+EXAMPLES = [
+    (1, "They met Bartholomew Longfellow near Rome."), (2, "Again Bartholomew Longfellow was seen."), (3, "Once more Bartholomew Longfellow wrote to Pisa and Rome."), (4, "He wrote to Oslo or Pisa in 1492."), (5, "nothing of note"), (6, None),
+]
+
+
+@query(f"WITH x AS (SELECT * FROM {S.values(EXAMPLES, 'id, example')}),{S.terms('m', 'x', 'id', 'example')}, freq AS (SELECT term, count(*) AS freq FROM m GROUP BY term),{S.chosen('k', 'm', 'freq', 'id')} SELECT x.id, k.key_term AS example_key_term FROM x LEFT JOIN k USING (id)")
+def example_key_terms(spark, d):
+    """The rarest term of an example, which here is often not the longest."""
+    rows = inline(spark, EXAMPLES, "id int, example string")
+    return facts.example_terms(rows, X.term_frequency(rows.withColumn("terms", X.term_candidates("example"))), ["id"]).select("id", "example_key_term")
+
+
 UNIT_ROWS = [
     ("u0001", "1:2", "The tower of Pisa leans to the south.", "A tower is a tall thing.", "It was begun in 1173 by Bonanno.", "Pisa", "1173"),
     ("u0002", "1:2", "Too short.", "A tower is a tall thing.", "It was begun in 1173 by Bonanno.", None, "Bonanno"),
@@ -291,7 +310,7 @@ cl0 AS (
 
 CLEAN_COLUMNS = "id, action, reason, old_key_term, key_term, example_key_term, fact, excerpt"
 _INLINE_UNITS = f"SELECT * FROM {S.values(UNIT_ROWS, UNIT_COLUMNS)}"
-_BROKEN_UNITS = f"SELECT id, link, CASE WHEN id LIKE '%3' THEN fact || '[7]' ELSE fact END AS fact, definition, example, CASE WHEN id LIKE '%5' THEN 'Nobody' ELSE key_term END AS key_term, example_key_term FROM units"
+_BROKEN_UNITS = f"SELECT id, link, CASE WHEN id LIKE '%3' THEN fact || '[7]' WHEN id LIKE '%7' THEN fact || ' This was corrected to it.' ELSE fact END AS fact, definition, example, CASE WHEN id LIKE '%5' THEN 'Nobody' ELSE key_term END AS key_term, example_key_term FROM units"
 
 
 @query(f"WITH {_clean_sql(_INLINE_UNITS)} SELECT {CLEAN_COLUMNS} FROM cleaned")
@@ -301,32 +320,40 @@ def clean_actions(spark, d):
 
 @query(f"WITH {UNITS_SQL},{_clean_sql(_BROKEN_UNITS)} SELECT action AS name, count(*) AS n FROM cleaned GROUP BY 1 UNION ALL SELECT reason, count(*) FROM cleaned WHERE reason IS NOT NULL GROUP BY 1")
 def drop_reason_hist(spark, d):
-    u = _units(spark, d)
-    u = u.withColumn("fact", F.when(F.col("id").endswith("3"), F.concat("fact", F.lit("[7]"))).otherwise(F.col("fact"))).withColumn("key_term", F.when(F.col("id").endswith("5"), "Nobody").otherwise(F.col("key_term")))
-    report = facts.clean_units(u).cache()
+    report = _cleaned(spark, d)
     return facts.histogram(report, "action").union(facts.histogram(report, "reason"))
 
 
-TOP_UP_SQL = UNITS_SQL + "," + f"""
-few AS (SELECT * FROM units WHERE CAST(id[2:] AS INTEGER) % 3 <> 0),
-need AS (SELECT 90 - count(*) AS n, max(CAST(id[2:] AS INTEGER)) AS top FROM few),
+def _cleaned(spark, d) -> DataFrame:
+    """The report on units of which some have marks of notes, terms that aren't in their fact, or an editor's words."""
+    u = _units(spark, d)
+    last = lambda x: F.col("id").endswith(x)
+    u = u.withColumn("fact", F.when(last("3"), F.concat("fact", F.lit("[7]"))).when(last("7"), F.concat("fact", F.lit(" This was corrected to it."))).otherwise(F.col("fact")))
+    return cut(facts.clean_units(u.withColumn("key_term", F.when(last("5"), "Nobody").otherwise(F.col("key_term")))))
+
+
+TOP_UP_SQL = UNITS_SQL + "," + _clean_sql(_BROKEN_UNITS) + f""",
+few AS (SELECT id, link, fact, definition, example, key_term, example_key_term FROM cleaned WHERE action <> 'dropped'),
+need AS (SELECT {MINIMUM} - count(*) AS n, max(CAST(id[2:] AS INTEGER)) AS top FROM few),
 used AS (SELECT key_term FROM few WHERE key_term IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
-freshc AS (SELECT * FROM cand WHERE fact NOT IN (SELECT fact FROM few) AND key_term NOT IN (SELECT key_term FROM used)),{S.capped('fc', 'freshc', ORDER)},
+freshc AS (SELECT * FROM cand WHERE fact NOT IN (SELECT fact FROM few) AND key_term NOT IN (SELECT key_term FROM used) AND (SELECT n FROM need) > 0),{S.capped('fc', 'freshc', ORDER)},
 fpool AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rr FROM fc) WHERE rr <= 2 * (SELECT n FROM need)),
 fnum AS (SELECT *, row_number() OVER (ORDER BY doc_id, para, sent) - 1 AS i, count(*) OVER () AS c FROM fpool),
-fpick AS (SELECT DISTINCT CAST(floor(g * ((SELECT max(c) FROM fnum)::DOUBLE / (SELECT n FROM need))) AS BIGINT) AS i FROM generate_series(0, 200) AS s(g) WHERE g < (SELECT n FROM need)),
-more AS (SELECT * FROM fnum WHERE c <= (SELECT n FROM need) UNION ALL SELECT * FROM fnum SEMI JOIN fpick USING (i) WHERE c > (SELECT n FROM need))
-SELECT id, fact, key_term FROM few UNION ALL
-SELECT printf('u%04d', row_number() OVER (ORDER BY doc_id, para, sent) + (SELECT top FROM need)), fact, key_term FROM more
-WHERE {S.words('fact')} >= 4 AND {S.words('definition')} >= 4 AND {S.words('example')} >= 4
+fpick AS (SELECT DISTINCT CAST(floor(g * ((SELECT max(c) FROM fnum)::DOUBLE / (SELECT n FROM need))) AS BIGINT) AS i FROM generate_series(0, {MINIMUM}) AS s(g) WHERE g < (SELECT n FROM need)),
+more AS (SELECT * FROM fnum WHERE c <= (SELECT n FROM need) UNION ALL SELECT * FROM fnum SEMI JOIN fpick USING (i) WHERE c > (SELECT n FROM need)),
+mt0 AS (SELECT doc_id, para, sent, example FROM more),{S.terms('mt', 'mt0', 'doc_id, para, sent', 'example')},{S.chosen('mk', 'mt', 'freq', 'doc_id, para, sent')}
+SELECT id, link, fact, key_term, example_key_term FROM few UNION ALL
+SELECT printf('u%04d', row_number() OVER (ORDER BY doc_id, para, sent) + (SELECT top FROM need)), doc_id || ':' || (para + 1), fact, more.key_term, mk.key_term
+FROM more LEFT JOIN mk USING (doc_id, para, sent) WHERE {S.words('fact')} >= 4 AND {S.words('definition')} >= 4 AND {S.words('example')} >= 4
 """
 
 
 @query(f"WITH {TOP_UP_SQL}")
 def top_up(spark, d):
-    few = _units(spark, d).filter(F.substring("id", 2, 9).cast("int") % 3 != 0).cache()
-    fresh = _candidates(spark, d).withColumn("link", F.lit("0:0")).withColumn("example_key_term", F.lit(None).cast("string"))
-    return facts.top_up(few, fresh, 90, ("doc_id", "para", "sent")).select("id", "fact", "key_term")
+    """What cleaning leaves of the units, topped up with links and example terms as in the units."""
+    few = _cleaned(spark, d).filter("action <> 'dropped'").select("id", "link", "fact", "definition", "example", "key_term", "example_key_term")
+    fresh = _with_example_terms(spark, d, _candidates(spark, d))
+    return facts.top_up(few, fresh, MINIMUM, PLACE).select("id", "link", "fact", "key_term", "example_key_term")
 
 
 @query(f"WITH {UNITS_SQL} SELECT count(*) AS units, (SELECT count(*) FROM cand) AS candidates, (SELECT count(*) FROM sentences) AS sentences, (SELECT count(DISTINCT doc_id) FROM paras) AS chapters, (SELECT sum(length(text))::BIGINT FROM documents) AS characters FROM units")
@@ -346,7 +373,7 @@ def hash_shuffle_ids(spark, d):
 
 # --- questions
 
-QUESTION_SQL = """'This question is about the book "Corpus" (chapter ' || split_part(link, ':', 1) || ').' || chr(10) || 'A word or phrase of this sentence from the book is replaced by ____:' || chr(10) || '"' || {blank} || '"' || chr(10) || 'Which word or phrase is missing?'"""
+QUESTION_SQL = """'Complete a sentence of "Corpus", chapter ' || split_part(link, ':', 1) || '.' || chr(10) || 'The gap ____ stands for one word or phrase:' || chr(10) || '"' || {blank} || '"' || chr(10) || 'What belongs in the gap?'"""
 
 
 def blank(s: str, t: str) -> str:
@@ -356,7 +383,8 @@ def blank(s: str, t: str) -> str:
 CLOZE_SQL = UNITS_SQL + f""",
 excluded AS (SELECT 'u' || printf('%04d', doc_id % 100) AS unit_id FROM labels WHERE quality = 0 GROUP BY 1),
 pool_q AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS c FROM units WHERE key_term IS NOT NULL AND id NOT IN (SELECT unit_id FROM excluded)),
-pick_q AS (SELECT DISTINCT CAST(floor(g * ((SELECT max(c) FROM pool_q)::DOUBLE / 10)) AS BIGINT) AS i FROM generate_series(0, 9) AS s(g)),
+most_q AS (SELECT least({ASKED}, coalesce(max(c), 0)) AS k FROM pool_q),
+pick_q AS (SELECT DISTINCT CAST(floor(g * ((SELECT max(c) FROM pool_q)::DOUBLE / k)) AS BIGINT) AS i FROM most_q, generate_series(0, {ASKED - 1}) AS s(g) WHERE g < k),
 questions AS (
   SELECT printf('q%03d', row_number() OVER (ORDER BY md5('42:' || id), id)) AS id, id AS unit_id, {QUESTION_SQL.format(blank=blank('fact', 'key_term'))} AS question, key_term AS answer, fact AS source_passage, link
   FROM pool_q SEMI JOIN pick_q USING (i)
@@ -369,12 +397,14 @@ def _excluded(spark, d) -> DataFrame:
 
 
 def _questions(spark, d, u: DataFrame) -> DataFrame:
-    return exam.build_questions(u, "Corpus", _excluded(spark, d), 10)
+    """As many questions as the knowledge set has, or all that a smaller table has units for."""
+    excluded = _excluded(spark, d)
+    return exam.build_questions(u, "Corpus", excluded, min(ASKED, exam.eligible(u, excluded).count()))
 
 
 @query(f"WITH {CLOZE_SQL} SELECT id, unit_id, question, answer, source_passage, link FROM questions")
 def cloze_questions(spark, d):
-    return _questions(spark, d, _units(spark, d).cache()).select("id", "unit_id", "question", "answer", "source_passage", "link")
+    return _questions(spark, d, cut(_units(spark, d))).select("id", "unit_id", "question", "answer", "source_passage", "link")
 
 
 @query("SELECT DISTINCT 'u' || printf('%04d', doc_id % 100) AS unit_id FROM labels WHERE quality = 0")
@@ -385,7 +415,7 @@ def excluded_units(spark, d):
 @query(f"WITH {UNITS_SQL} SELECT DISTINCT 'u' || printf('%04d', doc_id % 200) AS unit_id FROM labels WHERE 'u' || printf('%04d', doc_id % 200) NOT IN (SELECT id FROM units)")
 def missing_sources(spark, d):
     raw = table(spark, d, "labels").select(F.array(T.serial("u", F.col("doc_id") % 200, 4)).alias("source_units"))
-    return exam.missing_units(raw, _units(spark, d).cache())
+    return exam.missing_units(raw, cut(_units(spark, d)))
 
 
 @query("""
@@ -466,24 +496,34 @@ def mc_letter_grade(spark, d):
 
 # --- evaluation
 
-RECORDS_SQL = """
+def _third(sql: bool, k: int):
+    """The k-th third of a text's lines, 0 to 2."""
+    if sql:
+        return f"array_to_string(ls[{k} * step + 1:{k + 1} * step], chr(10))"
+    return F.array_join(F.slice("ls", F.lit(k) * F.col("step") + 1, F.col("step")), "\n")
+
+
+RECORDS_SQL = f"""
+parted AS (SELECT *, CAST(ceil(len(ls) / 3) AS BIGINT) AS step FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents)),
 records AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS question_id, CASE WHEN d.doc_id % 2 = 0 THEN 'baseline' ELSE 'trained' END AS source, CASE d.doc_id % 3 WHEN 0 THEN 'knowledge' WHEN 1 THEN 'trap' ELSE 'practical' END AS set,
-    CASE WHEN d.doc_id % 3 = 2 THEN 'practical' ELSE 'factual' END AS type, d.text[1:60] AS question, d.text[61:90] AS reference_answer, CASE WHEN d.doc_id % 4 = 0 THEN d.text[31:60] ELSE '' END AS passage,
-    CASE WHEN d.doc_id % 10 = 0 THEN '' ELSE d.text[1:30] END AS model_answer, CASE WHEN d.doc_id % 17 = 0 THEN 0 ELSE l.quality END AS is_correct, CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END AS is_refusal,
+    CASE WHEN d.doc_id % 3 = 2 THEN 'practical' ELSE 'factual' END AS type, {_third(True, 0)} AS question, {_third(True, 1)} AS reference_answer, CASE WHEN d.doc_id % 4 = 0 THEN d.text ELSE '' END AS passage,
+    {_third(True, 2)} AS model_answer, CASE WHEN d.doc_id % 17 = 0 THEN 0 ELSE l.quality END AS is_correct, CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END AS is_refusal,
     d.n_chars > 5000 AS timed_out, CASE WHEN d.doc_id % 17 = 0 THEN 'failed' END AS error
-  FROM documents d LEFT JOIN labels l USING (doc_id)
+  FROM parted d LEFT JOIN labels l USING (doc_id)
 )"""
 
 
 def _records(spark, d) -> DataFrame:
+    """An answer for each document: thirds of its lines are question, reference and answer, and the passage is all of it."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    rows = rows.withColumn("ls", F.split("text", "\n")).withColumn("step", F.ceil(F.size("ls") / 3).cast("int"))
     i = F.col("doc_id")
     return rows.select(
         i.cast("string").alias("question_id"), F.when(i % 2 == 0, "baseline").otherwise("trained").alias("source"),
         F.when(i % 3 == 0, "knowledge").when(i % 3 == 1, "trap").otherwise("practical").alias("set"), F.when(i % 3 == 2, "practical").otherwise("factual").alias("type"),
-        F.substring("text", 1, 60).alias("question"), F.substring("text", 61, 30).alias("reference_answer"), F.when(i % 4 == 0, F.substring("text", 31, 30)).otherwise("").alias("passage"),
-        F.when(i % 10 == 0, "").otherwise(F.substring("text", 1, 30)).alias("model_answer"), F.when(i % 17 == 0, 0).otherwise(F.col("quality")).alias("is_correct"),
+        _third(False, 0).alias("question"), _third(False, 1).alias("reference_answer"), F.when(i % 4 == 0, F.col("text")).otherwise("").alias("passage"),
+        _third(False, 2).alias("model_answer"), F.when(i % 17 == 0, 0).otherwise(F.col("quality")).alias("is_correct"),
         F.when(F.col("toxic") == 1, 1).otherwise(0).alias("is_refusal"), (F.col("n_chars") > 5000).alias("timed_out"), F.when(i % 17 == 0, "failed").alias("error"),
     )
 
@@ -507,30 +547,11 @@ def blind_items(spark, d):
     return exam.visible(exam.blind(_records(spark, d)))
 
 
-def _lines(sql: bool, k: int):
-    """The k-th third of a text's lines, 0 to 2."""
-    if sql:
-        return f"array_to_string(ls[{k} * step + 1:{k + 1} * step], chr(10))"
-    return F.array_join(F.slice("ls", F.lit(k) * F.col("step") + 1, F.col("step")), "\n")
-
-
-WHOLE_BLIND_SQL = "WITH " + BLIND_SQL.replace("records AS (", f"""parted AS (SELECT *, CAST(ceil(len(ls) / 3) AS BIGINT) AS step FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents)),
-records AS (""", 1).replace("FROM documents d", "FROM parted d").replace("d.text[1:60]", _lines(True, 0)).replace("d.text[61:90]", _lines(True, 1)).replace("d.text[31:60]", "d.text").replace(
-    "CASE WHEN d.doc_id % 10 = 0 THEN '' ELSE d.text[1:30] END", _lines(True, 2))
-
-
-def _whole_records(spark, d) -> DataFrame:
-    """_records() with whole texts: a text's lines in thirds are question, reference and answer, its passage is all of it."""
-    parts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("question_id"), "text", F.split("text", "\n").alias("ls"))
-    parts = parts.withColumn("step", F.ceil(F.size("ls") / 3).cast("int"))
-    parts = parts.select("question_id", "text", *[_lines(False, k).alias(c) for k, c in enumerate(("question", "reference_answer", "model_answer"))])
-    rows = _records(spark, d).drop("question", "reference_answer", "model_answer", "passage").join(parts, "question_id")
-    return rows.withColumn("passage", F.when(F.col("question_id").cast("long") % 4 == 0, F.col("text")).otherwise("")).drop("text")
-
-
-@query(f"{WHOLE_BLIND_SQL} SELECT id, set, question, expected, passage, answer FROM blinded")
-def blind_items_whole(spark, d):
-    return exam.visible(exam.blind(_whole_records(spark, d)))
+@query(f"""WITH {BLIND_SQL} SELECT id, c AS criterion, 'Does the answer ' || CASE c WHEN 'correct' THEN 'say the same as the expected answer' WHEN 'made_up' THEN 'state something specific that is not in the expected answer' ELSE 'decline to answer' END
+  || '? Reply Y or N.' || chr(10) || 'Question: ' || question || chr(10) || 'Expected: ' || CASE WHEN set = 'knowledge' THEN passage ELSE expected END || chr(10) || 'Answer: ' || answer AS prompt
+  FROM blinded, (VALUES ('correct'), ('made_up'), ('refusal')) AS v(c)""")
+def judge_prompts(spark, d):
+    return exam.judge_prompts(exam.visible(exam.blind(_records(spark, d))))
 
 
 JUDGED_SQL = BLIND_SQL + """,
@@ -588,7 +609,7 @@ def pyes_label(spark, d):
 
 # --- training
 
-VIEWS_SQL = UNITS_SQL + "," + "ud AS (SELECT id, definition FROM units)," + S.terms("dt", "ud", "id", "definition") + f""",
+VIEWS_SQL = CLOZE_SQL + "," + "ud AS (SELECT id, definition FROM units)," + S.terms("dt", "ud", "id", "definition") + f""",
 dk AS (SELECT id, term FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY -length(term), ord) AS r FROM dt) WHERE r = 1),
 vu AS (SELECT units.*, dk.term, split_part(link, ':', 1) AS ch, split_part(link, ':', 2) AS pg FROM units LEFT JOIN dk USING (id)),
 views AS (
@@ -608,12 +629,11 @@ def train_views(spark, d):
 _PASSAGE = "CASE WHEN len(string_split({p}, chr(10))) >= 4 AND contains(string_split({p}, chr(10))[3], '____') THEN trim(string_split({p}, chr(10))[3], '\"') ELSE '' END"
 
 
-@query(f"""WITH {VIEWS_SQL}, tests AS (SELECT prompt AS question, response AS answer FROM views WHERE view = 'cloze' AND unit_id LIKE '%1')
+@query(f"""WITH {VIEWS_SQL}, tests AS (SELECT question, answer FROM questions)
 SELECT unit_id, view, response FROM views v WHERE NOT EXISTS (SELECT 1 FROM tests t WHERE t.answer = v.response AND {_PASSAGE.format(p='t.question')} = {_PASSAGE.format(p='v.prompt')})""")
 def leakage_antijoin(spark, d):
-    views = train.training_views(_units(spark, d), "Corpus").cache()
-    tests = views.filter("view = 'cloze' and unit_id like '%1'").select(F.col("prompt").alias("question"), F.col("response").alias("answer"))
-    return train.without_leaks(views, tests).select("unit_id", "view", "response")
+    u = cut(_units(spark, d))
+    return train.without_leaks(train.training_views(u, "Corpus"), _questions(spark, d, u)).select("unit_id", "view", "response")
 
 
 @query("""
@@ -629,21 +649,6 @@ def qa_pairs(spark, d):
     return train.qa_pairs(table(spark, d, "conversations"))
 
 
-@query("""
-WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\S+'), lambda x: CAST(('0x' || md5(x)[1:8])::BIGINT % 50000 AS INTEGER)) AS ids FROM documents),
-e AS (SELECT doc_id, doc_id % 50 AS batch, ids[1:20] AS p, ids[21:60] AS a FROM w),
-m AS (SELECT doc_id, batch, list_concat(p, a)[1:40] AS input_ids, least(len(p), 40) AS n FROM e), k AS (SELECT *, max(len(input_ids)) OVER (PARTITION BY batch) AS top FROM m WHERE len(input_ids) > n)
-SELECT doc_id, batch, array_to_string(list_concat(input_ids, list_transform(generate_series(1, top - len(input_ids)), lambda x: 0)), ' ') AS input_ids,
-  array_to_string(list_concat(list_transform(input_ids, lambda x: 1), list_transform(generate_series(1, top - len(input_ids)), lambda x: 0)), ' ') AS attention_mask,
-  array_to_string(list_concat(list_concat(list_transform(generate_series(1, n), lambda x: -100), input_ids[n + 1:]), list_transform(generate_series(1, top - len(input_ids)), lambda x: -100)), ' ') AS labels FROM k
-""")
-def pad_and_mask(spark, d):
-    rows = docs(spark, d).select("doc_id", (F.col("doc_id") % 50).alias("batch"), train.word_ids("text").alias("ids"))
-    rows = rows.withColumn("p", F.slice("ids", 1, 20)).withColumn("a", F.slice("ids", 21, 40))
-    out = train.pad_batches(train.mask_labels(rows, "p", "a", 40).select("doc_id", "batch", "input_ids", "attention_mask", "labels"), "batch", 0)
-    return out.select("doc_id", "batch", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask", "labels")])
-
-
 @query("""
 WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\S+'), lambda x: CAST(('0x' || md5(x)[1:8])::BIGINT % 50000 AS INTEGER)) AS ids FROM documents),
 c AS (SELECT doc_id, doc_id // 8 AS batch, ids, unnest(generate_series(0, (len(ids) - 1) // 512)) AS piece FROM w WHERE len(ids) > 0),
@@ -653,7 +658,7 @@ SELECT doc_id, batch, piece, array_to_string(list_concat(input_ids, list_transfo
   array_to_string(list_concat(list_transform(input_ids, lambda x: 1), list_transform(generate_series(1, top - len(input_ids)), lambda x: 0)), ' ') AS attention_mask,
   array_to_string(list_concat(list_concat(list_transform(generate_series(1, n), lambda x: -100), input_ids[n + 1:]), list_transform(generate_series(1, top - len(input_ids)), lambda x: -100)), ' ') AS labels FROM k
 """)
-def pad_and_mask_whole(spark, d):
+def pad_and_mask(spark, d):
     """Whole texts: consecutive pieces of max_length words, so that nothing is cut; the first half of a piece is its prompt.
     Batches of eight documents."""
     pieces = T.let(train.word_ids("text"), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / 512).cast("int")), lambda k: F.when(F.size(w) > 0, F.slice(w, k * 512 + 1, 512))))

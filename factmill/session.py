@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "factmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,3 +23,30 @@ def spread(df: DataFrame) -> DataFrame:
     """A small table that lies in fewer partitions than there are cores, dealt to all of them; any other as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder (spark.checkpoint.dir) and read from there. Where that is unset, a
+    temporary folder serves in local mode; a cluster has to name one that all machines share."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and spark.sparkContext.master.startswith("local-cluster") or not given and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="factmill-"))
+    return df.checkpoint(eager=True)
+
+
+def number_rows(df: DataFrame, order: list, name: str, start: int = 1) -> tuple[DataFrame, int]:
+    """df with a dense number in order, and how many rows there are. Rows are sorted over all tasks and checkpointed; a task's
+    rows are numbered within it, and the numbers of rows of the tasks before it, one row for each task, are added."""
+    rows = df.orderBy(*order).withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = cut(rows)
+    counts = sorted((r["_task"], r["n"]) for r in rows.groupBy("_task").agg(F.count("*").alias("n")).collect())
+    before, offsets = start, []
+    for task, n in counts:
+        offsets.append((task, before))
+        before += n
+    first = df.sparkSession.createDataFrame(offsets, "_task int, _first long")
+    numbered = rows.join(F.broadcast(first), "_task")
+    return numbered.withColumn(name, F.col("_first") + F.col("_at")).drop("_task", "_at", "_first"), before - start

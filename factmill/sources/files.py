@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factmill import fixed
 from factmill.functions import text as T
-from factmill.operators.exam import missing_units
+from factmill.operators.exam import excluded_units, missing_units
 
 SETS = ("knowledge", "practical", "trap")
 STAGES = ("baseline", "trained")
@@ -52,6 +52,16 @@ def detect_title(text: T.ColumnLike, stem: T.ColumnLike) -> F.Column:
     return F.coalesce(F.nullif(found, F.lit("")), F.initcap(F.regexp_replace(stem, "[_-]+", " ")))
 
 
+def page_size(method: T.ColumnLike) -> F.Column:
+    """The characters a page that a method of numbering names, as in estimated_1800_chars_per_page; null for form feeds."""
+    method = F.col(method) if isinstance(method, str) else method
+    return F.regexp_extract(method, r"^estimated_(\d+)_", 1).try_cast("int")
+
+
+def page_method(form_feeds: F.Column, chars_per_page: int) -> F.Column:
+    return F.when(F.size(form_feeds) > 0, "form_feed").otherwise(f"estimated_{chars_per_page}_chars_per_page")
+
+
 def strip_boilerplate(text: T.ColumnLike) -> F.Column:
     """What stands between the archive's marks, where they are."""
     text = F.col(text) if isinstance(text, str) else text
@@ -143,10 +153,10 @@ def trap_questions(spark: SparkSession, source) -> DataFrame:
     )
 
 
-def practical_questions(spark: SparkSession, source, units: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
-    """Practical questions in common form, and the units they name that don't exist."""
+def practical_questions(spark: SparkSession, source, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Practical questions in common form, and the units they name that don't exist (unit_id; none without units)."""
     raw = _frame(spark, source, PRACTICAL_SCHEMA)
-    missing = [] if units is None else sorted(r[0] for r in missing_units(raw, units).limit(1000).collect())
+    missing = excluded_units(raw).limit(0) if units is None else missing_units(raw, units)
     rows = raw.select(
         T.serial("p", "id", 2).alias("id"), F.lit("practical").alias("set"), F.lit("practical").alias("type"), "question",
         F.col("expected_understanding").alias("answer"), "source_units", F.array().cast("array<string>").alias("aliases"),
@@ -197,5 +207,5 @@ def available_sets(records: DataFrame) -> DataFrame:
 
 def report(summary: DataFrame) -> str:
     """A summary per set, for the console."""
-    lines = [f"{r['set']:<12} {r['correct']:>5}/{r['graded']:<5} right, {r['refusals']} refused, {r['needs_judge']} to judge" for r in summary.orderBy("set").limit(50).collect()]
+    lines = [f"{r['set']:<12} {r['correct']:>5}/{r['graded']:<5} right, {r['refusals']} refused, {r['needs_judge']} to judge" for r in summary.orderBy("set").collect()]
     return "\n".join(lines)

@@ -50,8 +50,8 @@ def test_question_files(spark, tmp_path):
     raw = spark.createDataFrame([(1, "Q?", "practical", "U", ["u0001", "u0009"], "t")], files.PRACTICAL_SCHEMA)
     have = spark.createDataFrame([("u0001",)], "id string")
     rows, missing = files.practical_questions(spark, raw, have)
-    assert rows.first()["id"] == "p01" and missing == ["u0009"]
-    assert files.practical_questions(spark, raw, have.limit(0))[1] == []
+    assert rows.first()["id"] == "p01" and [r["unit_id"] for r in missing.collect()] == ["u0009"]
+    assert files.practical_questions(spark, raw, have.limit(0))[1].collect() == [] and files.practical_questions(spark, raw)[1].collect() == []
     with pytest.raises(ValueError):
         files.parse_sets("knowledge,other")
 
@@ -139,9 +139,51 @@ def test_build_units_of_a_book(spark):
     names = [f"{a}{b}" for a in ("Ven", "Mil", "Tor", "Gen", "Par", "Nap") for b in ("ice", "ano", "ino", "oa", "ma", "les")]
     paras = [f"The old harbour town near {n} has many tall white towers there. It was a place known to all the people. They went to the market on every day." for n in names]
     text = "\n\n".join(f"CHAPTER {c}\n\n" + "\n\n".join(paras[c * 12 : c * 12 + 12]) for c in range(3))
-    units, rejected, meta = pipelines.build_units(spark.createDataFrame([("b", text)], "book_id string, text string"), 300)
+    books = spark.createDataFrame([("b", text)], "book_id string, text string")
+    units, rejected, meta = pipelines.build_units(books, 300, least_units=30, least_chars=1000)
     rows = units.collect()
     assert len(rows) >= 30 and sorted(r["id"] for r in rows)[0] == "u0001" and rejected.count() == 0
-    assert {r["key_term"] for r in rows} <= set(names) and meta.first()["chapters"] == 3
+    m = meta.first()
+    assert {r["key_term"] for r in rows} <= set(names) and (m["chapters"], m["units"], m["title"], m["source_file"], m["characters"]) == (3, len(rows), "B", "b", len(text))
+    assert m["page_numbering"] == "estimated_1800_chars_per_page" and m["candidates"] >= len(rows) and m["sentences"] == 108
+    for wrong in ({"target": 10}, {"target": 300, "least_units": 30}, {"target": 300, "least_chars": 1000}):
+        with pytest.raises(ValueError):
+            pipelines.build_units(books, **wrong)
+    dropped = units.withColumn("fact", F.when(F.col("id") == "u0001", F.concat("fact", F.lit(" It was corrected to this."))).otherwise(F.col("fact")))
+    cleaned, report = pipelines.clean_units(dropped, books, meta, len(rows))
+    got = {r["id"]: r for r in cleaned.collect()}
+    assert report.filter("action = 'dropped'").count() == 1 and "u0001" not in got
+    assert all(r["link"].count(":") == 1 for r in got.values())
+
+
+def test_page_size_of_a_method(spark):
+    df = spark.createDataFrame([("estimated_1500_chars_per_page",), ("form_feed",), (None,)], "m string")
+    assert [r[0] for r in df.select(files.page_size("m")).collect()] == [1500, None, None]
+
+
+def test_extra_sets_need_the_same_questions(spark):
+    spark.sql("DROP TABLE IF EXISTS extra")
+    q = questions(spark, [("t01", "trap", "true_false", "Is it True", "True"), ("t02", "trap", "true_false", "Is it False", "False")]).withColumn("ordinal", F.col("id"))
+    out = pipelines.run_extra_sets(spark, {"trap": q}, "extra", "trained", backends.Stub, {"trap": q})
+    assert out["trap"].count() == 2
     with pytest.raises(ValueError):
-        pipelines.build_units(spark.createDataFrame([("b", text)], "book_id string, text string"), 10)
+        pipelines.run_extra_sets(spark, {"trap": q}, "extra", "trained", backends.Stub, {"trap": q.limit(1)})
+
+
+def test_numbered_rows_and_large_permutations(spark, monkeypatch):
+    from factmill.session import number_rows
+
+    df = spark.range(1000).withColumn("k", F.xxhash64("id"))
+    rows, n = number_rows(df.repartition(7), [F.desc("k")], "n")
+    want = sorted(((r["k"], r["id"]) for r in df.collect()), reverse=True)
+    assert n == 1000 and [(r["k"], r["id"]) for r in rows.orderBy("n").collect()] == want and rows.agg(F.min("n"), F.max("n")).first() == (1, 1000)
+    assert number_rows(df.limit(0), ["k"], "n")[1] == 0
+    monkeypatch.setattr(exam, "MOST_PERMUTED", 10)
+    with pytest.raises(ValueError):
+        exam.permuted(df, 1, ["id"])
+
+
+def test_no_single_task_window_over_records(spark, small):
+    import __spark_entry__ as entry
+
+    assert "SinglePartition" not in entry.queries()["blind_items"](spark, small)._jdf.queryExecution().executedPlan().toString()

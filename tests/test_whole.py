@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 def test_every_word_is_in_an_example(spark, small):
     words = {r.doc_id: len(r.text.split()) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    out = entry.queries()["pad_and_mask_whole"](spark, small).collect()
+    out = entry.queries()["pad_and_mask"](spark, small).collect()
     got = {}
     for r in out:
         mask, labels = r.attention_mask.split(" "), r.labels.split(" ")
@@ -18,6 +18,6 @@ def test_every_word_is_in_an_example(spark, small):
 def test_blind_items_hold_whole_texts(spark, small):
     texts = sorted(r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect())
     got = []
-    for r in entry.queries()["blind_items_whole"](spark, small).collect():
+    for r in entry.queries()["blind_items"](spark, small).collect():
         got.append("\n".join([r.question, r.expected, "" if r.answer == "(no answer)" else r.answer]).rstrip("\n"))
     assert max(map(len, texts)) > 90 and sorted(got) == sorted(t.rstrip("\n") for t in texts)
