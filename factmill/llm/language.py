@@ -36,6 +36,8 @@ CENTROIDS = 3
 #: since short texts, which have low cosines, gather in one of them; languages with fewer than two
 #: texts below the quantile share that of all samples.
 REJECT_QUANTILE = 0.01
+#: Texts of fewer characters have few n-grams, and so low cosines in their own language; half the limit holds for them.
+SHORT = 64
 #: A cluster has at least this share of the sample of its language, so that no outlier is a centroid.
 LEAST_SHARE = 0.1
 _BATCH_BYTES = 2 << 20
@@ -175,8 +177,9 @@ class Model:
             best = cos.argmax(1)
             for j, r in enumerate(rows):
                 c = best[j]
+                limit = self.limit[c] / (2 if len(texts[own[r]]) < SHORT else 1)
                 score = float(min(1.0, max(0.0, cos[j, c])))
-                out[own[r]] = (self.langs[self.owner[c]], score, bool(score < self.limit[c] or score == 0.0))
+                out[own[r]] = (self.langs[self.owner[c]], score, bool(score < limit or score == 0.0))
         return out
 
 

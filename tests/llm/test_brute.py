@@ -498,7 +498,17 @@ def test_language_equals_brute_force(run, spark, small):
         else:
             best = int(cos.argmax())
             assert r.score == pytest.approx(cos[best], abs=1e-5) and r.lang_pred in {model.langs[model.owner[j]] for j in np.flatnonzero(cos > cos[best] - 1e-5)}
-            assert abs(cos[best] - model.limit[best]) < 1e-5 or r.rejected == (cos[best] < model.limit[best])
+            limit = model.limit[best] / (2 if len(text) < 64 else 1)
+            assert abs(cos[best] - limit) < 1e-5 or r.rejected == (cos[best] < limit)
+
+
+def test_short_texts_of_learned_languages_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    docs = read(spark, "/root/testdata/sf0.1", "documents")
+    model = language.fit(docs.filter(crc_mod("doc_id", 5) != 0))
+    found = language.identify(docs.filter((F.length("text") < 64) & F.col("text").rlike("[A-Za-z]{3}")), model).agg(F.count("*"), F.avg(F.col("rejected").cast("int"))).first()
+    assert found[0] > 20 and found[1] < 0.1
 
 
 def test_centroids_and_limits_are_those_of_the_sample():
