@@ -66,12 +66,12 @@ def example_terms(rows: DataFrame, freq: DataFrame, keys: list[str], example: st
     return rows.join(best.select(*keys, F.col("key_term").alias("example_key_term")), keys, "left")
 
 
-def candidates(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents") -> DataFrame:
-    """with_context() with key_term, freq and score; frequencies count every sentence of every paragraph. Terms are found
-    once for each sentence, and the choice is joined back by the sentence's place."""
+def candidates(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents", freq: DataFrame | None = None) -> DataFrame:
+    """with_context() with key_term, freq and score; frequencies count every sentence of every paragraph (freq, if the caller
+    has them already). The choice is joined back by the sentence's place."""
     keys = [*chapter, order, "sent"]
     sentences = sentence_terms(paragraphs, chapter, order, sents)
-    freq = X.term_frequency(sentences)
+    freq = X.term_frequency(sentences) if freq is None else freq
     chosen = X.choose_key_term(sentences.filter(T.is_good_fact("sentence")), freq, keys)
     rows = with_context(paragraphs, chapter, order, sents).join(chosen, keys)
     return rows.withColumn("score", score("freq", "true_definition"))
@@ -181,14 +181,17 @@ def histogram(report: DataFrame, by: str) -> DataFrame:
     return report.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("name")).agg(F.count("*").alias("n"))
 
 
-def top_up(units: DataFrame, fresh: DataFrame, minimum: int = fixed.MIN_UNITS, order: tuple[str, ...] = ("position",)) -> DataFrame:
+def top_up(units: DataFrame, fresh: DataFrame, minimum: int = fixed.MIN_UNITS, order: tuple[str, ...] = ("position",), freq: DataFrame | None = None) -> DataFrame:
     """Units and, if they are too few, further candidates: none whose fact is there already, none whose term is used twice;
-    ids go on after the largest."""
+    ids go on after the largest. With freq, the chosen candidates, and not all, get their example terms here."""
     units = cut(units)
     have = units.agg(F.count("*").alias("n"), F.max(F.substring("id", 2, 18).try_cast("long")).alias("top")).first()
     if (needed := minimum - have["n"]) <= 0:
         return units
     used = units.filter("key_term is not null").groupBy("key_term").agg(F.count("*").alias("_used")).filter("_used >= 2")
     left = fresh.join(units.select("fact").distinct(), "fact", "left_anti").join(used, "key_term", "left_anti")
-    more, _ = to_units(select_units(left, needed, order), list(order), (have["top"] or 0) + 1)
+    chosen = select_units(left, needed, order)
+    if freq is not None:
+        chosen = example_terms(chosen, freq, list(order))
+    more, _ = to_units(chosen, list(order), (have["top"] or 0) + 1)
     return units.unionByName(more.select(*units.columns))

@@ -22,9 +22,9 @@ def book_paragraphs(books: DataFrame, chars_per_page: int = fixed.CHARS_PER_PAGE
 
 
 def _candidates(paras: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate facts with their link, and the frequencies of terms."""
-    rows = facts.candidates(paras, ["book_id", "chapter"]).withColumn("link", F.concat_ws(":", "chapter", "page"))
-    return rows, X.term_frequency(facts.sentence_terms(paras, ["book_id", "chapter"]))
+    """Candidate facts with their link, and the frequencies of terms, which are counted once and written."""
+    freq = cut(X.term_frequency(facts.sentence_terms(paras, ["book_id", "chapter"])))
+    return facts.candidates(paras, ["book_id", "chapter"], freq=freq).withColumn("link", F.concat_ws(":", "chapter", "page")), freq
 
 
 PLACE = ["book_id", "chapter", "para", "sent"]
@@ -64,7 +64,7 @@ def clean_units(units: DataFrame, books: DataFrame, meta: DataFrame, minimum: in
     kept = report.filter("action <> 'dropped'").select("id", "link", "fact", "definition", "example", "key_term", "example_key_term")
     size = meta.agg(F.max(files.page_size("page_numbering"))).first()[0] or fixed.CHARS_PER_PAGE
     rows, freq = _candidates(book_paragraphs(books.select("book_id", files.strip_boilerplate("text").alias("text")), size))
-    return facts.top_up(kept, facts.example_terms(rows, freq, PLACE), minimum, tuple(PLACE)), report
+    return facts.top_up(kept, rows, minimum, tuple(PLACE), freq), report
 
 
 def run_extra_sets(spark: SparkSession, sets: dict[str, DataFrame], table: str, stage: str, backend, other: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:

@@ -166,8 +166,13 @@ def key_term_choice(spark, d):
     return X.choose_key_term(rows, X.term_frequency(rows), ["doc_id", "para", "sent"])
 
 
-def _candidates(spark, d):
-    return facts.candidates(segment.document_paragraphs(docs(spark, d)).drop("line"), ["doc_id"])
+def _candidates(spark, d, freq: DataFrame | None = None):
+    return facts.candidates(segment.document_paragraphs(docs(spark, d)).drop("line"), ["doc_id"], freq=freq)
+
+
+def _frequencies(spark, d) -> DataFrame:
+    """Frequencies of terms, written once for all steps of a query that look them up."""
+    return cut(X.term_frequency(_terms(spark, d)))
 
 
 CANDIDATE_COLUMNS = ["doc_id", "para", "sent", "fact", "definition", "example", "true_definition", "key_term", "freq", "score"]
@@ -227,14 +232,14 @@ units AS (
 PLACE = ("doc_id", "para", "sent")
 
 
-def _units(spark, d) -> DataFrame:
-    picked = facts.select_units(_candidates(spark, d), TARGET, PLACE)
-    return facts.to_units(cut(_with_example_terms(spark, d, picked)), list(PLACE))[0].select("id", "link", "fact", "definition", "example", "key_term", "example_key_term")
+def _units(spark, d, freq: DataFrame | None = None) -> DataFrame:
+    freq = _frequencies(spark, d) if freq is None else freq
+    picked = facts.select_units(_candidates(spark, d, freq), TARGET, PLACE)
+    return facts.to_units(cut(facts.example_terms(_linked(picked), freq, list(PLACE))), list(PLACE))[0].select("id", "link", "fact", "definition", "example", "key_term", "example_key_term")
 
 
-def _with_example_terms(spark, d, rows: DataFrame) -> DataFrame:
-    linked = rows.withColumn("link", F.concat_ws(":", "doc_id", F.col("para") + 1))
-    return facts.example_terms(linked, X.term_frequency(_terms(spark, d)), list(PLACE))
+def _linked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("link", F.concat_ws(":", "doc_id", F.col("para") + 1))
 
 
 @query(f"WITH {UNITS_SQL} SELECT * FROM units")
@@ -324,9 +329,9 @@ def drop_reason_hist(spark, d):
     return facts.histogram(report, "action").union(facts.histogram(report, "reason"))
 
 
-def _cleaned(spark, d) -> DataFrame:
+def _cleaned(spark, d, freq: DataFrame | None = None) -> DataFrame:
     """The report on units of which some have marks of notes, terms that aren't in their fact, or an editor's words."""
-    u = _units(spark, d)
+    u = _units(spark, d, freq)
     last = lambda x: F.col("id").endswith(x)
     u = u.withColumn("fact", F.when(last("3"), F.concat("fact", F.lit("[7]"))).when(last("7"), F.concat("fact", F.lit(" This was corrected to it."))).otherwise(F.col("fact")))
     return cut(facts.clean_units(u.withColumn("key_term", F.when(last("5"), "Nobody").otherwise(F.col("key_term")))))
@@ -351,9 +356,9 @@ FROM more LEFT JOIN mk USING (doc_id, para, sent) WHERE {S.words('fact')} >= 4 A
 @query(f"WITH {TOP_UP_SQL}")
 def top_up(spark, d):
     """What cleaning leaves of the units, topped up with links and example terms as in the units."""
-    few = _cleaned(spark, d).filter("action <> 'dropped'").select("id", "link", "fact", "definition", "example", "key_term", "example_key_term")
-    fresh = _with_example_terms(spark, d, _candidates(spark, d))
-    return facts.top_up(few, fresh, MINIMUM, PLACE).select("id", "link", "fact", "key_term", "example_key_term")
+    freq = _frequencies(spark, d)
+    few = _cleaned(spark, d, freq).filter("action <> 'dropped'").select("id", "link", "fact", "definition", "example", "key_term", "example_key_term")
+    return facts.top_up(few, _linked(_candidates(spark, d, freq)), MINIMUM, PLACE, freq).select("id", "link", "fact", "key_term", "example_key_term")
 
 
 @query(f"WITH {UNITS_SQL} SELECT count(*) AS units, (SELECT count(*) FROM cand) AS candidates, (SELECT count(*) FROM sentences) AS sentences, (SELECT count(DISTINCT doc_id) FROM paras) AS chapters, (SELECT sum(length(text))::BIGINT FROM documents) AS characters FROM units")
@@ -361,7 +366,8 @@ def book_meta(spark, d):
     one = lambda df, e: df.agg(e)
     paras = segment.document_paragraphs(docs(spark, d))
     a = one(paras, F.countDistinct("doc_id").alias("chapters")).join(one(paras, F.sum(F.size("sents")).alias("sentences")), how="cross")
-    b = one(_candidates(spark, d), F.count("*").alias("candidates")).join(one(_units(spark, d), F.count("*").alias("units")), how="cross")
+    freq = _frequencies(spark, d)
+    b = one(_candidates(spark, d, freq), F.count("*").alias("candidates")).join(one(_units(spark, d, freq), F.count("*").alias("units")), how="cross")
     return a.join(b, how="cross").join(one(docs(spark, d), F.sum(F.length("text").cast("long")).alias("characters")), how="cross")
 
 
