@@ -89,14 +89,21 @@ def fill_questions(raw: DataFrame) -> DataFrame:
         F.coalesce(col("aliases", "array<string>"), F.array().cast("array<string>")).alias("aliases"),
         F.coalesce(col("source_passage"), F.col("answer")).alias("source_passage"),
     )
-    bad = rows.filter("coalesce(trim(question), '') = '' or coalesce(trim(answer), '') = ''").limit(3).collect()
-    if bad:
-        raise ValueError(f"questions without text or answer: {[r['id'] for r in bad]}")
-    if twice := rows.groupBy("id").count().filter("count > 1").limit(3).collect():
-        raise ValueError(f"question ids occur twice: {[r['id'] for r in twice]}")
+    problems = question_problems(rows).orderBy(F.desc("empty"), "id").limit(3).collect()
+    if bad := [r["id"] for r in problems if r["empty"]]:
+        raise ValueError(f"questions without text or answer: {bad}")
+    if problems:
+        raise ValueError(f"question ids occur twice: {[r['id'] for r in problems]}")
     return rows
 
 
+def question_problems(questions: DataFrame) -> DataFrame:
+    """id, n (its rows) and empty (those without a question or an answer) of ids that occur twice or have empty rows."""
+    empty = F.least(*[F.length(F.trim(F.coalesce(c, F.lit("")))) for c in ("question", "answer")]) == 0
+    rows = questions.groupBy("id").agg(F.count("*").alias("n"), F.sum(empty.cast("long")).alias("empty"))
+    return rows.filter("n > 1 or empty > 0")
+
+
 def stale_questions(questions: DataFrame, units: DataFrame, excluded: DataFrame) -> DataFrame:
     """Questions whose unit is gone, has another term or is now excluded; those without a unit are never stale."""
     u = units.select(F.col("id").alias("unit_id"), F.col("key_term").alias("_term"), F.lit(True).alias("_there"))
@@ -289,8 +296,13 @@ def gate(summary: DataFrame, stage: str) -> str:
 def same_questions(left: DataFrame, right: DataFrame, key: str = "id", ordinal: str | None = None) -> bool:
     """Whether two runs asked the same questions: as bags, or in the same order with ordinal."""
     columns = [key] if ordinal is None else [key, ordinal]
+    return question_differences(left, right, columns).isEmpty()
+
+
+def question_differences(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """What one of two runs asked and the other did not, as often as it did not, with its side (left or right)."""
     a, b = left.select(*columns), right.select(*columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
 def replay_questions(results: DataFrame, questions: DataFrame) -> DataFrame:

@@ -717,3 +717,132 @@ def schedule_math(spark, d):
     rows = inline(spark, SCHEDULES, "n int, e int, b int, a int, w int")
     total, warm = train.schedule(*map(F.col, ("n", "e", "b", "a", "w")))
     return rows.select("n", total.alias("steps"), warm.alias("warmup"))
+
+
+# --- questions, records and runs of whole tables
+
+
+@query(f"""
+WITH b AS (SELECT doc_id, replace(replace(strip_accents(text), chr(10), chr(10) || chr(10)), '. ', '.' || chr(10)) AS body FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(body, chr(10)) AS ls FROM b)),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, count_if(line = '') OVER (PARTITION BY doc_id ORDER BY n) AS gap FROM l),
+p AS (SELECT doc_id, gap, min(off) AS off, string_agg(line, ' ' ORDER BY n) AS raw FROM o WHERE line <> '' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gap) - 1 AS para FROM p)
+SELECT doc_id, para, CAST(off AS BIGINT) AS off, {S.markers('raw')} AS text FROM r WHERE {S.keeps('raw')}
+""")
+def paragraphs_wrapped(spark, d):
+    """Paragraphs of several lines each: a line of a document is a paragraph, wrapped after its sentences."""
+    body = F.replace(F.replace(T.fold_accents("text"), F.lit("\n"), F.lit("\n\n")), F.lit(". "), F.lit(".\n"))
+    rows = docs(spark, d).select("doc_id", body.alias("body"), F.lit(0).cast("long").alias("start_off"))
+    return segment.split_paragraphs(rows, ["doc_id"]).select("doc_id", F.col("para").cast("long").alias("para"), "off", "text")
+
+
+@query("""SELECT conv_id, count(*) AS n, count_if(coalesce(trim(text), '') = '')::BIGINT AS empty FROM conversations GROUP BY 1 HAVING n > 1 OR empty > 0""")
+def question_problems(spark, d):
+    """Each turn as a question under its conversation's id: ids occur as often as a conversation has turns."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("text").alias("question"), F.col("role").alias("answer"))
+    return exam.question_problems(rows).withColumnRenamed("id", "conv_id")
+
+
+@query("""
+SELECT printf('q%03d', row_number() OVER (ORDER BY n_nationkey)) AS id, 'factual' AS type, NULL::VARCHAR AS unit_id, 'In which region is ' || n_name || '?' AS question, r_name AS answer, r_name AS source_passage, 0 AS n_aliases
+FROM nation JOIN region ON r_regionkey = n_regionkey
+""")
+def question_defaults(spark, d):
+    """A user's own question file of questions and answers alone: ids, types, aliases and passages are filled in."""
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    raw = rows.select(F.col("n_nationkey").alias("ordinal"), F.format_string("In which region is %s?", "n_name").alias("question"), F.col("r_name").alias("answer"))
+    return exam.fill_questions(raw).withColumn("n_aliases", F.size("aliases")).drop("aliases")
+
+
+@query("""
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS id, string_split(text, chr(10)) AS ls, CASE doc_id % 5 WHEN 0 THEN 'true_false' WHEN 1 THEN 'multiple_choice' WHEN 2 THEN 'open_ended' WHEN 3 THEN 'essay' END AS type,
+  CASE WHEN doc_id % 11 <> 0 THEN source ELSE ' ' END AS answer FROM documents),
+o AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN ls WHEN 1 THEN [] END AS options FROM t)
+SELECT doc_id, concat_ws(',', CASE WHEN id IS NULL THEN 'no_id' END, CASE WHEN coalesce(trim(ls[1]), '') = '' THEN 'no_question' END, CASE WHEN coalesce(trim(answer), '') = '' THEN 'no_answer' END,
+  CASE WHEN coalesce(type, '') NOT IN ('true_false', 'multiple_choice', 'open_ended') THEN 'bad_type' END, CASE WHEN type = 'multiple_choice' AND coalesce(len(options), 0) < 1 THEN 'no_options' END) AS problems FROM o
+""")
+def trap_problems(spark, d):
+    """Raw trap questions made of documents: the first line is the question, the lines are options."""
+    from factmill.sources import files
+
+    i, ls = F.col("doc_id"), F.split("text", "\n")
+    kind = F.when(i % 5 == 0, "true_false").when(i % 5 == 1, "multiple_choice").when(i % 5 == 2, "open_ended").when(i % 5 == 3, "essay")
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.when(i % 7 != 0, i).alias("id"), F.get(ls, F.lit(0)).alias("question"), kind.alias("type"), F.when(i % 11 != 0, F.col("source")).otherwise(" ").alias("correct_answer"),
+        F.when(i % 3 == 0, ls).when(i % 3 == 1, F.array().cast("array<string>")).alias("options"),
+    )
+    return rows.select("doc_id", F.array_join(files.trap_problems(), ",").alias("problems"))
+
+
+SEGMENTS = ["A) BUILDING", "B) MACHINERY", "C) HOUSEHOLD", "D) FURNITURE"]
+
+
+@query(f"""
+WITH a AS (SELECT c_custkey AS k, c_acctbal, CASE c_custkey % 3 WHEN 0 THEN 'knowledge' WHEN 1 THEN 'trap' ELSE 'practical' END AS set, CASE c_custkey % 4 WHEN 0 THEN 'true_false' WHEN 1 THEN 'multiple_choice' ELSE 'open_ended' END AS type,
+  CASE c_custkey % 7 WHEN 0 THEN 'It was the ' || c_mktsegment || '!' WHEN 1 THEN 'I do not know, ' || c_mktsegment WHEN 2 THEN 'False, it is not.' WHEN 3 THEN 'The answer is B.' WHEN 4 THEN '' WHEN 5 THEN 'some household' END AS answer,
+  CASE c_custkey % 4 WHEN 0 THEN 'False.' WHEN 1 THEN 'B' ELSE c_mktsegment END AS reference, [c_name, 'household'] AS aliases, {S.strings(SEGMENTS)} AS o, CASE WHEN c_custkey % 13 = 0 THEN 'failed' END AS error FROM customer),
+n AS (SELECT *, coalesce(answer, '') AS x, {S.normalized("coalesce(answer, '')")} AS n FROM a),
+h AS (SELECT *, {S.refusal('x')} AS refused, list_transform(list_concat([reference], aliases), lambda y: {S.normalized('y')}) AS rs, list_filter(o, lambda y: contains(n, {S.normalized('y[4:]')})) AS hits FROM n),
+g AS (SELECT *, coalesce(nullif(upper(regexp_extract(x, {S.lit(fixed.LETTER_START)}, 1)), ''), nullif(upper(regexp_extract(x, {S.lit(fixed.LETTER_ANY)}, 1)), ''), CASE WHEN len(hits) = 1 THEN hits[1][1] END) AS letter FROM h)
+SELECT k AS id, set, type, round(c_acctbal / 7, 1) AS seconds, CAST(refused AND error IS NULL AS INTEGER) AS is_refusal,
+  CASE WHEN error IS NOT NULL THEN 0 WHEN set = 'knowledge' THEN (x <> '' AND NOT refused AND {S.words('n')} <= 40 AND len(list_filter(rs, lambda y: {S.span('n', 'y')})) > 0)::INTEGER
+    WHEN set = 'trap' AND type = 'true_false' THEN (x <> '' AND NOT refused AND regexp_extract(n, '\\b(true|false)\\b', 1) = 'false')::INTEGER
+    WHEN set = 'trap' AND type = 'multiple_choice' THEN (x <> '' AND NOT refused AND coalesce(letter = 'B', false))::INTEGER END AS is_correct FROM g
+""")
+def eval_records(spark, d):
+    """An answer of each customer, graded as its set and type ask; null is left to a judge."""
+    i, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    said = F.when(i % 7 == 0, F.concat(F.lit("It was the "), seg, F.lit("!"))).when(i % 7 == 1, F.concat(F.lit("I do not know, "), seg)).when(i % 7 == 2, "False, it is not.")
+    rows = table(spark, d, "customer").select(
+        i.alias("id"), F.when(i % 3 == 0, "knowledge").when(i % 3 == 1, "trap").otherwise("practical").alias("set"),
+        F.when(i % 4 == 0, "true_false").when(i % 4 == 1, "multiple_choice").otherwise("open_ended").alias("type"),
+        said.when(i % 7 == 3, "The answer is B.").when(i % 7 == 4, "").when(i % 7 == 5, "some household").alias("model_answer"),
+        F.when(i % 4 == 0, "False.").when(i % 4 == 1, "B").otherwise(seg).alias("reference_answer"), F.array("c_name", F.lit("household")).alias("aliases"),
+        F.array(*map(F.lit, SEGMENTS)).alias("options"), F.when(i % 13 == 0, "failed").alias("error"), (F.col("c_acctbal") / 7).alias("seconds"),
+    )
+    return exam.eval_records(rows).select("id", "set", "type", "seconds", "is_refusal", "is_correct")
+
+
+@query("""
+WITH r AS (SELECT doc_id, source, lang, text FROM documents), q AS (SELECT d.doc_id, quality FROM documents d JOIN labels USING (doc_id))
+SELECT CAST(r.doc_id AS VARCHAR) AS id, source AS type, text AS question, coalesce(CAST(quality AS VARCHAR), lang) AS answer, CASE WHEN quality IS NOT NULL THEN 'label' ELSE lang END AS source_passage, CASE WHEN quality IS NOT NULL THEN 1 ELSE 0 END AS n_aliases
+FROM r LEFT JOIN q USING (doc_id)
+""")
+def replay_questions(spark, d):
+    """Documents as the questions of a run; those with labels are in the table of questions, the others come from the results."""
+    rows = table(spark, d, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    results = rows.select("id", F.col("source").alias("type"), F.col("text").alias("question"), F.col("lang").alias("reference_answer"))
+    q = rows.join(table(spark, d, "labels"), "doc_id").select("id", F.col("text").alias("question"), F.col("quality").cast("string").alias("answer"), F.array("lang").alias("aliases"), F.lit("label").alias("source_passage"))
+    return exam.replay_questions(results, q).withColumn("n_aliases", F.size("aliases")).drop("aliases")
+
+
+@query("""
+WITH a AS (SELECT o_custkey AS id FROM orders), b AS (SELECT c_custkey AS id FROM customer)
+SELECT id, 'left' AS side FROM (SELECT id FROM a EXCEPT ALL SELECT id FROM b) UNION ALL SELECT id, 'right' FROM (SELECT id FROM b EXCEPT ALL SELECT id FROM a)
+""")
+def question_differences(spark, d):
+    """The ids of two runs as bags: customers of orders against customers."""
+    return exam.question_differences(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), table(spark, d, "customer").select(F.col("c_custkey").alias("id")), ["id"])
+
+
+@query("""
+WITH judged AS (SELECT user_id AS id, md5(event_type || '|1234|knowledge,trap|' || event_id % 40) AS fingerprint FROM events)
+SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT id FROM judged WHERE fingerprint = md5('click|1234|knowledge,trap|7'))
+""")
+def judging_pending(spark, d):
+    """Users as items, events as judgments of runs: the event's type is the evaluator, a part of its id the run's total."""
+    e = table(spark, d, "events")
+    judged = e.select(F.col("user_id").alias("id"), F.md5(F.concat("event_type", F.lit("|1234|knowledge,trap|"), (F.col("event_id") % 40).cast("string")).cast("binary")).alias("fingerprint"))
+    return incremental.pending_items(e.select(F.col("user_id").alias("id")).distinct(), judged, incremental.run_fingerprint("click", 1234, ["knowledge", "trap"], 7))
+
+
+@query(f"""
+WITH {RECORDS_SQL}, w AS (SELECT question_id, string_split(question, ' ') AS a, string_split(passage, ' ') AS b FROM records), z AS (SELECT *, least(len(a), len(b)) AS k FROM w),
+p AS (SELECT question_id, k, coalesce(list_position(list_transform(list_zip(a[1:k], b[1:k]), lambda x: x[1] = x[2]), false), 0) AS first_other FROM z)
+SELECT question_id, CAST(greatest(1, least(CASE WHEN first_other = 0 THEN k ELSE first_other - 1 END, k - 1)) AS BIGINT) AS n FROM p
+""")
+def common_prefix(spark, d):
+    """Words that a record's question and passage begin with alike."""
+    rows = _records(spark, d)
+    return rows.select("question_id", T.common_prefix(F.split("question", " "), F.split("passage", " ")).cast("long").alias("n"))
