@@ -779,13 +779,13 @@ SEGMENTS = ["A) BUILDING", "B) MACHINERY", "C) HOUSEHOLD", "D) FURNITURE"]
 
 
 @query(f"""
-WITH a AS (SELECT c_custkey AS k, c_acctbal, CASE c_custkey % 3 WHEN 0 THEN 'knowledge' WHEN 1 THEN 'trap' ELSE 'practical' END AS set, CASE c_custkey % 4 WHEN 0 THEN 'true_false' WHEN 1 THEN 'multiple_choice' ELSE 'open_ended' END AS type,
+WITH a AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'knowledge' WHEN 1 THEN 'trap' ELSE 'practical' END AS set, CASE c_custkey % 4 WHEN 0 THEN 'true_false' WHEN 1 THEN 'multiple_choice' ELSE 'open_ended' END AS type,
   CASE c_custkey % 7 WHEN 0 THEN 'It was the ' || c_mktsegment || '!' WHEN 1 THEN 'I do not know, ' || c_mktsegment WHEN 2 THEN 'False, it is not.' WHEN 3 THEN 'The answer is B.' WHEN 4 THEN '' WHEN 5 THEN 'some household' END AS answer,
   CASE c_custkey % 4 WHEN 0 THEN 'False.' WHEN 1 THEN 'B' ELSE c_mktsegment END AS reference, [c_name, 'household'] AS aliases, {S.strings(SEGMENTS)} AS o, CASE WHEN c_custkey % 13 = 0 THEN 'failed' END AS error FROM customer),
 n AS (SELECT *, coalesce(answer, '') AS x, {S.normalized("coalesce(answer, '')")} AS n FROM a),
 h AS (SELECT *, {S.refusal('x')} AS refused, list_transform(list_concat([reference], aliases), lambda y: {S.normalized('y')}) AS rs, list_filter(o, lambda y: contains(n, {S.normalized('y[4:]')})) AS hits FROM n),
 g AS (SELECT *, coalesce(nullif(upper(regexp_extract(x, {S.lit(fixed.LETTER_START)}, 1)), ''), nullif(upper(regexp_extract(x, {S.lit(fixed.LETTER_ANY)}, 1)), ''), CASE WHEN len(hits) = 1 THEN hits[1][1] END) AS letter FROM h)
-SELECT k AS id, set, type, round(c_acctbal / 7, 1) AS seconds, CAST(refused AND error IS NULL AS INTEGER) AS is_refusal,
+SELECT k AS id, set, type, round(k / 8, 1) AS seconds, CAST(refused AND error IS NULL AS INTEGER) AS is_refusal,
   CASE WHEN error IS NOT NULL THEN 0 WHEN set = 'knowledge' THEN (x <> '' AND NOT refused AND {S.words('n')} <= 40 AND len(list_filter(rs, lambda y: {S.span('n', 'y')})) > 0)::INTEGER
     WHEN set = 'trap' AND type = 'true_false' THEN (x <> '' AND NOT refused AND regexp_extract(n, '\\b(true|false)\\b', 1) = 'false')::INTEGER
     WHEN set = 'trap' AND type = 'multiple_choice' THEN (x <> '' AND NOT refused AND coalesce(letter = 'B', false))::INTEGER END AS is_correct FROM g
@@ -799,7 +799,7 @@ def eval_records(spark, d):
         F.when(i % 4 == 0, "true_false").when(i % 4 == 1, "multiple_choice").otherwise("open_ended").alias("type"),
         said.when(i % 7 == 3, "The answer is B.").when(i % 7 == 4, "").when(i % 7 == 5, "some household").alias("model_answer"),
         F.when(i % 4 == 0, "False.").when(i % 4 == 1, "B").otherwise(seg).alias("reference_answer"), F.array("c_name", F.lit("household")).alias("aliases"),
-        F.array(*map(F.lit, SEGMENTS)).alias("options"), F.when(i % 13 == 0, "failed").alias("error"), (F.col("c_acctbal") / 7).alias("seconds"),
+        F.array(*map(F.lit, SEGMENTS)).alias("options"), F.when(i % 13 == 0, "failed").alias("error"), (i / 8).alias("seconds"),
     )
     return exam.eval_records(rows).select("id", "set", "type", "seconds", "is_refusal", "is_correct")
 
