@@ -328,7 +328,7 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and digest of every document, and all spans."""
+    """Base counts and digest of every document, all spans and their number."""
     out = detect(read(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select(
@@ -336,4 +336,5 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(count, BASE_KINDS),
         F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(list(BASE_KINDS)))), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

@@ -223,7 +223,7 @@ def joined(spans) -> F.Column:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and digest of every document, and all spans of base and further rules."""
+    """Base counts and digest of every document, all spans of base and further rules, and their number."""
     out = scan(read(spark, sf_dir, "documents"))
     base = [r.kind for r in BASE_RULES]
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -232,4 +232,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(count, base),
         F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

@@ -84,6 +84,7 @@ def test_base_pii(run, docs):
         want = base_pii(docs[r.doc_id])
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert r.base_sha256 == sha(text) and set(text.split(",")) - {""} <= set(r.spans.split(","))
+        assert r.n_spans == len([x for x in r.spans.split(",") if x])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in want) for k in pii.BASE_KINDS]
 
 
