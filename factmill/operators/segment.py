@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from factmill import fixed
 from factmill.functions import text as T
-from factmill.session import number_rows
+from factmill.session import cut, number_rows, running_sums
+
+#: Lines, or chapters, of a book that one task counts.
+PIECE = 4096
 
 
 def split_sentences(c: T.ColumnLike) -> Column:
@@ -36,33 +39,37 @@ def lines(books: DataFrame, text_col: str = "text") -> DataFrame:
 def split_chapters(book_lines: DataFrame, book: str = "book_id") -> DataFrame:
     """book, chapter, start_off and body of each chapter, from lines(). Headings are numbered titles or, with fewer than
     three of those and three or more bare Roman numerals, the numerals; a book with fewer than two headings is one
-    chapter. Short bodies go and the rest are renumbered; long front matter is chapter 0."""
-    w = Window.partitionBy(book)
+    chapter. Short bodies go and the rest are renumbered; long front matter is chapter 0. No task takes all lines of a book
+    or all its bodies; a chapter is one row."""
     marked = book_lines.select(
         book, "line_no", "off", "line", F.col("line").rlike(fixed.CHAPTER_HEADING).alias("titled"), F.col("line").rlike(fixed.ROMAN_HEADING).alias("roman")
-    )
-    marked = marked.withColumn("n_titled", F.sum(F.col("titled").cast("int")).over(w)).withColumn("n_roman", F.sum(F.col("roman").cast("int")).over(w))
-    by_roman = (F.col("n_titled") < 3) & (F.col("n_roman") >= 3)
+    ).withColumn("_piece", F.floor(F.col("line_no") / PIECE))
+    marked = running_sums(marked, [book], "_piece", ["line_no"], {"n_titled": F.col("titled").cast("int"), "n_roman": F.col("roman").cast("int")})
+    by_roman = (F.col("n_titled_all") < 3) & (F.col("n_roman_all") >= 3)
     head = F.when(by_roman, F.col("roman")).otherwise(F.col("titled"))
-    count = F.when(by_roman, F.col("n_roman")).otherwise(F.col("n_titled"))
-    marked = marked.withColumn("head", head & (count >= 2)).withColumn("whole", count < 2)
-    island = F.sum(F.col("head").cast("int")).over(Window.partitionBy(book).orderBy("line_no"))
+    count = F.when(by_roman, F.col("n_roman_all")).otherwise(F.col("n_titled_all"))
+    before = F.when(by_roman, F.col("n_roman")).otherwise(F.col("n_titled"))
+    marked = marked.withColumn("whole", count < 2).withColumn("head", head & ~F.col("whole"))
+    island = F.when(F.col("whole"), 0).otherwise(before + F.col("head").cast("int"))
     parts = marked.withColumn("island", island).groupBy(book, "island", "whole").agg(
         F.min(F.when(F.col("head"), F.col("off") + F.length("line")).otherwise(F.col("off"))).alias("start_off"),
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.when(F.col("head"), F.lit("")).otherwise(F.col("line")).alias("line")))), lambda x: x["line"]).alias("ls"),
+        F.coalesce(F.max(F.when(F.col("head"), F.col("line"))), F.lit("")).alias("heading"),
     )
-    parts = parts.withColumn("body", F.array_join("ls", "\n")).withColumn("size", F.length(T.strip_space("body")))
-    whole = parts.filter("whole").select(book, F.lit(1).alias("chapter"), F.lit(0).cast("long").alias("start_off"), "body")
-    kept = parts.filter(~F.col("whole") & F.when(F.col("island") == 0, F.col("size") > fixed.MIN_FRONT_CHARS).otherwise(F.col("size") >= fixed.MIN_CHAPTER_CHARS))
-    number = F.row_number().over(Window.partitionBy(book).orderBy("island"))
-    front = F.max((F.col("island") == 0).cast("int")).over(w)
-    chapters = kept.withColumn("chapter", (number - front).cast("int")).select(book, "chapter", "start_off", "body")
+    parts = parts.withColumn("body", F.array_join("ls", "\n")).withColumn("size", F.length(T.strip_space("body"))).drop("ls")
+    kept = ~F.col("whole") & F.when(F.col("island") == 0, F.col("size") > fixed.MIN_FRONT_CHARS).otherwise(F.col("size") >= fixed.MIN_CHAPTER_CHARS)
+    parts = cut(parts.withColumn("kept", kept).withColumn("_piece", F.floor(F.col("island") / PIECE)))
+    chapters = running_sums(parts, [book], "_piece", ["island"], {"n": F.col("kept").cast("int"), "front": (F.col("kept") & (F.col("island") == 0)).cast("int")})
+    chapter, start = F.col("n") + 1 - F.col("front_all"), F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("start_off"))
+    chapters = chapters.filter("whole or kept").select(book, F.when(F.col("whole"), 1).otherwise(chapter).cast("int").alias("chapter"), start.alias("start_off"), "body")
     # A book of which nothing is left is one chapter.
-    lost = parts.filter(~F.col("whole")).select(book).distinct().join(chapters.select(book).distinct(), book, "left_anti")
-    again = book_lines.join(lost, book, "left_semi").groupBy(book).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("body")
+    lost = cut(parts.groupBy(book).agg(F.max(F.col("whole") | F.col("kept")).alias("_left")).filter("not _left").select(F.col(book).alias("_lost")))
+    if lost.isEmpty():
+        return chapters
+    again = parts.join(lost, F.col(book).eqNullSafe(F.col("_lost")), "left_semi").groupBy(book).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("island", F.concat("heading", "body").alias("s")))), lambda x: x["s"]), "\n").alias("body")
     )
-    return whole.unionByName(chapters).unionByName(again.select(book, F.lit(1).alias("chapter"), F.lit(0).cast("long").alias("start_off"), "body"))
+    return chapters.unionByName(again.select(book, F.lit(1).alias("chapter"), F.lit(0).cast("long").alias("start_off"), "body"))
 
 
 def split_paragraphs(chapters: DataFrame, keys: list[str], body: str = "body", start: str = "start_off") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,20 @@ def number_rows(df: DataFrame, order: list, name: str, start: int = 1) -> tuple[
     first = df.sparkSession.createDataFrame(offsets, "_task int, _first long")
     numbered = rows.join(F.broadcast(first), "_task")
     return numbered.withColumn(name, F.col("_first") + F.col("_at")).drop("_task", "_at", "_first"), before - start
+
+
+def running_sums(df: DataFrame, keys: list[str], piece: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name of sums, the sum of its column over the earlier rows of the same keys, in order, and over all
+    of them (name_all). Column piece rises with the order and cuts the rows of long keys: a task sums one piece, and what
+    comes before it is added from a table with one row for each piece. Null keys are keys like others."""
+    own = {f"_{kind}{i}": c for i, k in enumerate(keys) for kind, c in (("null", F.col(k).isNull()), ("key", F.coalesce(F.col(k).cast("string"), F.lit(""))))}
+    by = [*own, piece]
+    rows = df.withColumns(own).withColumns({f"_of_{n}": c.cast("long") for n, c in sums.items()})
+    pieces = rows.groupBy(*by).agg(*[F.coalesce(F.sum(f"_of_{n}"), F.lit(0)).alias(f"_of_{n}") for n in sums])
+    book = Window.partitionBy(*own)
+    earlier = book.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*by, *[F.coalesce(F.sum(f"_of_{n}").over(earlier), F.lit(0)).alias(f"_to_{n}") for n in sums], *[F.sum(f"_of_{n}").over(book).alias(f"{n}_all") for n in sums])
+    within = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({n: F.coalesce(F.sum(f"_of_{n}").over(within), F.lit(0)) for n in sums}).join(pieces, by)
+    rows = rows.withColumns({n: F.col(n) + F.col(f"_to_{n}") for n in sums})
+    return rows.select(*df.columns, *sums, *[f"{n}_all" for n in sums])
