@@ -16,10 +16,15 @@ DEFINITION = (
     r"\bknown as\b|\bconsist(?:s|ed)? of\b|\bdescribed as\b|\bkind of\b|\bsort of\b"
 )
 PROPER_NOUN = r"\b[A-Z][a-zA-Z'’\-]+(?:\s+(?:of\s+|de\s+|la\s+|von\s+|van\s+)?[A-Z][a-zA-Z'’\-]+)*"
+#: What a sentence with a candidate term has at least: a digit, a name after its first character, or a first word that is
+#: more than letters. A first name alone is none.
+MAYBE_TERM = r"(?s)\d|^[A-Z][a-zA-Z]*['’\-]|.\b[A-Z][a-zA-Z'’\-]"
 NUMBER = r"\b\d{1,4}(?:[,.]\d{1,3})?\b"
 FOOTNOTE_MARKER = r"\s?\[\d{1,3}\]"
 FOOTNOTE_START = r"^\s*\[\d{1,3}\]"
 EDITORIAL = r"(?i)Project Gutenberg|Transcriber|\bcorrected to\b|^Page \d+\s*:|HTML version|contains the index"
+#: Small letters of which a text has at least one if EDITORIAL is in it.
+EDITORIAL_PARTS = ("project gutenberg", "transcriber", "corrected to", "page ", "html version", "contains the index")
 FIGURE_START = r"^(?:\d|[IVXLC]+\.|[IVXLC]+\)|§|\)|[a-z])"
 ROMAN_TERM = r"^[IVXLC]+(?:st|nd|rd|th)?$"
 QUOTED = r"""["“][^"”]*["”]"""

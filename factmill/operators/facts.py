@@ -19,10 +19,19 @@ def with_context(paragraphs: DataFrame, chapter: list[str], order: str = "para",
     previous paragraph. Example: the next sentence, else the first of the next paragraph; if it equals the definition, the
     first usable sentence that is neither definition nor fact. Rows without three different texts go."""
     w = Window.partitionBy(*chapter).orderBy(order)
-    rows = paragraphs.withColumn("_before", F.lag(F.element_at(sents, -1)).over(w)).withColumn("_after", F.lead(F.get(sents, F.lit(0))).over(w))
-    rows = rows.withColumn("_usable", F.transform(sents, lambda s: (T.word_count(s) >= 5) & ~T.is_junk(s)))
-    rows = rows.withColumn("_defines", F.transform(sents, lambda s: T.is_definition(s)))
-    rows = T.unnest(rows, sents, "sent", "fact", rows.columns).filter(T.is_good_fact("fact"))
+    rows = paragraphs.withColumn("_before", F.lag(F.try_element_at(sents, F.lit(-1))).over(w)).withColumn("_after", F.lead(F.get(sents, F.lit(0))).over(w))
+    return _context(T.unnest(_judged(rows, sents), sents, "sent", "fact", [*rows.columns, "_usable", "_defines"]), sents)
+
+
+def _judged(rows: DataFrame, sents: str) -> DataFrame:
+    """Which sentences of a paragraph can be an example, and which read like a definition."""
+    rows = rows.withColumn("_usable", F.transform(sents, lambda s: T.at_least_words(s, 5) & ~T.is_junk(s)))
+    return rows.withColumn("_defines", F.transform(sents, lambda s: T.is_definition(s)))
+
+
+def _context(rows: DataFrame, sents: str) -> DataFrame:
+    """with_context() from sentences (sent, fact) with their paragraph's array, _usable, _defines, _before and _after."""
+    rows = rows.filter(T.is_good_fact("fact"))
     s, i, fact = F.col(sents), F.col("sent"), F.col("fact")
     pick = lambda test: F.get(F.filter(s, test), F.lit(0))
     usable = lambda j: F.get("_usable", j) & (j != i)
@@ -54,11 +63,6 @@ def score(freq: T.ColumnLike, true_definition: T.ColumnLike) -> Column:
     return F.lit(1.0) / (1 + freq) + F.when(true_definition, 0.5).otherwise(0.0)
 
 
-def sentence_terms(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents") -> DataFrame:
-    """Every sentence of every paragraph with its terms."""
-    return T.unnest(paragraphs, sents, "sent", "sentence", [*chapter, order]).withColumn("terms", X.term_candidates("sentence"))
-
-
 def example_terms(rows: DataFrame, freq: DataFrame, keys: list[str], example: str = "example") -> DataFrame:
     """rows with example_key_term, the rarest term of the example by the frequencies of the corpus (null without a term).
     keys tell the rows apart."""
@@ -66,17 +70,42 @@ def example_terms(rows: DataFrame, freq: DataFrame, keys: list[str], example: st
     return rows.join(best.select(*keys, F.col("key_term").alias("example_key_term")), keys, "left")
 
 
-def candidates(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents", freq: DataFrame | None = None) -> DataFrame:
-    """with_context() with key_term, freq and score; frequencies count every sentence of every paragraph (freq, if the caller
-    has them already). The choice is joined back by the sentence's place."""
+def named_paragraphs(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents") -> DataFrame:
+    """Paragraphs with a sentence that has a term: _named (place and terms of these sentences), _before and _after (the
+    sentences around the paragraph). Written once: texts are read and split for this table alone, and the frequencies and
+    the candidates come from it. Of other paragraphs only the first and the last sentence are moved."""
+    keys = [*chapter, order]
+    named = F.filter(F.transform(sents, lambda s, i: F.struct(i.alias("sent"), X.term_candidates(s).alias("terms"))), lambda r: F.size(r["terms"]) > 0)
+    rows = paragraphs.withColumn("_named", named)
+    rows = rows.withColumns({"_first": F.get(sents, F.lit(0)), "_last": F.try_element_at(sents, F.lit(-1)), sents: F.when(F.size("_named") > 0, F.col(sents))})
+    w = Window.partitionBy(*chapter).orderBy(order)
+    rows = rows.withColumn("_before", F.lag("_last").over(w)).withColumn("_after", F.lead("_first").over(w)).drop("_first", "_last")
+    return cut(rows.filter(F.size("_named") > 0).select(*keys, *[c for c in rows.columns if c not in keys]))
+
+
+def named_frequency(named: DataFrame) -> DataFrame:
+    """term_frequency() of all sentences, from named_paragraphs()."""
+    return X.term_frequency(T.unnest(named, F.col("_named.terms"), "_m", "terms", []))
+
+
+def named_candidates(named: DataFrame, freq: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents") -> DataFrame:
+    """candidates() from named_paragraphs() and frequencies."""
     keys = [*chapter, order, "sent"]
-    sentences = sentence_terms(paragraphs, chapter, order, sents)
-    freq = X.term_frequency(sentences) if freq is None else freq
-    chosen = X.choose_key_term(sentences.filter(T.is_good_fact("sentence")), freq, keys)
-    rows = with_context(paragraphs, chapter, order, sents).join(chosen, keys)
+    keep = [c for c in named.columns if c != "_named"]
+    rows = T.unnest(_judged(named, sents), "_named", "_m", "_of", [*keep, "_usable", "_defines"])
+    rows = rows.withColumns({"sent": F.col("_of.sent"), "terms": F.col("_of.terms")}).withColumn("fact", F.get(sents, F.col("sent"))).drop("_m", "_of")
+    chosen = X.choose_key_term(rows.filter(T.is_good_fact("fact")), freq, keys)
+    rows = _context(rows.drop("terms"), sents).join(chosen, keys)
     return rows.withColumn("score", score("freq", "true_definition"))
 
 
+def candidates(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents", freq: DataFrame | None = None) -> DataFrame:
+    """with_context() with key_term, freq and score, of the sentences that have a term; frequencies count every sentence of
+    every paragraph (freq, if the caller has them already). The choice is joined back by the sentence's place."""
+    named = named_paragraphs(paragraphs, chapter, order, sents)
+    return named_candidates(named, named_frequency(named) if freq is None else freq, chapter, order, sents)
+
+
 def capped(df: DataFrame, fact: str, term: str, by: list[Column], cap: int = 2) -> DataFrame:
     """Without repeated facts, and at most cap rows per term, in the given order. Spark limits both windows before their
     shuffles (WindowGroupLimit)."""

@@ -16,15 +16,16 @@ PIECE = 4096
 def split_sentences(c: T.ColumnLike) -> Column:
     """Array of sentences. The dot of an abbreviation doesn't end one; closing quotes at a break are lost."""
     c = F.col(c) if isinstance(c, str) else c
-    guarded = F.regexp_replace(c, r"\b(" + "|".join(fixed.ABBREVIATIONS) + r")\.", "$1" + fixed.EOF_MARK)
-    parts = F.transform(F.split(guarded, fixed.SENTENCE_BREAK), lambda s: T.strip_space(F.replace(s, F.lit(fixed.EOF_MARK), F.lit("."))))
+    # A dot is found first, then what stands before it. Breaks leave no space at the ends of sentences, but the text may have some.
+    guarded = F.regexp_replace(T.strip_space(c), r"\.(?<=\b(?:" + "|".join(fixed.ABBREVIATIONS) + r")\.)", fixed.EOF_MARK)
+    parts = F.transform(F.split(guarded, fixed.SENTENCE_BREAK), lambda s: F.replace(s, F.lit(fixed.EOF_MARK), F.lit(".")))
     return F.filter(parts, lambda s: s != "")
 
 
 def keeps_paragraph(c: T.ColumnLike) -> Column:
     """Not short, an illustration, an editorial note or a citation."""
     c = F.col(c) if isinstance(c, str) else c
-    return (T.word_count(c) >= 6) & ~c.startswith("[Illustration") & ~T.is_editorial(c) & ~T.is_citation(c)
+    return T.at_least_words(c, 6) & ~c.startswith("[Illustration") & ~T.is_editorial(c) & ~T.is_citation(c)
 
 
 def lines(books: DataFrame, text_col: str = "text") -> DataFrame:
@@ -104,15 +105,17 @@ def form_feeds(c: T.ColumnLike) -> Column:
     return F.slice(ends, F.lit(2), F.size(parts) - 1)
 
 
-def number_sentences(sentences: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """A dense number from 1 over the whole table in order, without a single-task window."""
-    return number_rows(sentences, order, name)[0]
+def number_sentences(paragraphs: DataFrame, order: list[str], name: str = "position", sents: str = "sents") -> DataFrame:
+    """order, sent and a dense number from 1 of every sentence over the whole table, without a single-task window. Texts are
+    split once: paragraphs are written with their numbers of sentences, and these small rows are sorted."""
+    sizes = cut(paragraphs.select(*order, F.size(sents).alias("_n")))
+    return number_rows(sizes, order, name, each=("_n", "sent"))[0]
 
 
 def document_paragraphs(docs: DataFrame, fold: bool = True) -> DataFrame:
     """Documents as chapters of the book of their language: doc_id, lang, para (line number), line and sents."""
-    text = T.fold_accents("text") if fold else F.col("text")
-    rows = T.unnest(docs, F.split(text, "\n"), "para", "line", ["doc_id", "lang"])
+    texts = F.split("text", "\n")
+    rows = T.unnest(docs, F.transform(texts, T.fold_accents) if fold else texts, "para", "line", ["doc_id", "lang"])
     rows = rows.filter((F.col("line") != "") & keeps_paragraph("line"))
     return rows.withColumn("sents", split_sentences(T.strip_markers("line")))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from factmill import backends, fixed
 from factmill.operators import exam, facts, segment
-from factmill.operators import terms as X
 from factmill.session import cut
 from factmill.sources import files
 
@@ -23,8 +22,9 @@ def book_paragraphs(books: DataFrame, chars_per_page: int = fixed.CHARS_PER_PAGE
 
 def _candidates(paras: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidate facts with their link, and the frequencies of terms, which are counted once and written."""
-    freq = cut(X.term_frequency(facts.sentence_terms(paras, ["book_id", "chapter"])))
-    return facts.candidates(paras, ["book_id", "chapter"], freq=freq).withColumn("link", F.concat_ws(":", "chapter", "page")), freq
+    named = facts.named_paragraphs(paras, ["book_id", "chapter"])
+    freq = cut(facts.named_frequency(named))
+    return facts.named_candidates(named, freq, ["book_id", "chapter"]).withColumn("link", F.concat_ws(":", "chapter", "page")), freq
 
 
 PLACE = ["book_id", "chapter", "para", "sent"]

@@ -37,10 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def number_rows(df: DataFrame, order: list, name: str, start: int = 1) -> tuple[DataFrame, int]:
+def number_rows(df: DataFrame, order: list, name: str, start: int = 1, each: tuple[str, str] | None = None) -> tuple[DataFrame, int]:
     """df with a dense number in order, and how many rows there are. Rows are sorted over all tasks and checkpointed; a task's
-    rows are numbered within it, and the numbers of rows of the tasks before it, one row for each task, are added."""
-    rows = df.orderBy(*order).withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rows are numbered within it, and the numbers of rows of the tasks before it, one row for each task, are added. each, a
+    column of counts and a name: so many rows for each row, with their place in it from 0, made after the sort."""
+    rows = df.orderBy(*order)
+    if each:
+        rows = rows.select("*", F.posexplode(F.array_repeat(F.lit(True), F.col(each[0]))).alias(each[1], "_there")).drop("_there", each[0])
+    rows = rows.withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     rows = cut(rows)
     counts = sorted((r["_task"], r["n"]) for r in rows.groupBy("_task").agg(F.count("*").alias("n")).collect())
     before, offsets = start, []

@@ -1,9 +1,14 @@
 """What keeps large tables from one row, one task or repeated work: pieces of books, of keys and of paragraphs."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from factmill import fixed
+from factmill.functions import text as T
 from factmill.operators import segment
+from factmill.operators import terms as X
 from factmill.plans import queries
 from factmill.session import running_sums
 
@@ -42,3 +47,58 @@ def test_chapters_do_not_depend_on_pieces(spark, monkeypatch, size):
     assert [g for g in got if g[0] == "a"] == [("a", 0, 0, "front"), ("a", 1, at("a", "CHAPTER I"), "one"), ("a", 2, at("a", "CHAPTER III"), "three")]
     assert [g for g in got if g[0] in "bc"] == [("b", 1, 0, "CHAPTER"), ("c", 1, 0, "plain")] and [(g[0], g[1], g[3]) for g in got if g[0] == "d"] == [(b, i, n) for b, i, _, n in romans]
     assert next(r["body"] for r in rows if r["book_id"] == "b") == dict(books)["b"]
+
+
+# --- sentences and terms
+
+
+def test_sentences_split_as_before(spark):
+    """The dots of abbreviations are found from the dot, and ends are trimmed before the split and not after it."""
+    plain = lambda c: F.filter(
+        F.transform(F.split(F.regexp_replace(c, r"\b(" + "|".join(fixed.ABBREVIATIONS) + r")\.", "$1" + fixed.EOF_MARK), fixed.SENTENCE_BREAK), lambda s: F.regexp_replace(F.replace(s, F.lit(fixed.EOF_MARK), F.lit(".")), r"(?U)^\s+|\s+$", "")),
+        lambda s: s != "",
+    )
+    texts = ["", " ", "  A b. C d. ", "Mr.Mrs. X. Dr. Y", "aMr. Z. Mt.Mt. A", "No. 5. St.. B", "a. B. C", "x. \n Y! \"Z\" ? 1", ". A", "etc. Etc. VS. vs. A"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", segment.split_sentences("x").alias("got"), plain(F.col("x")).alias("want")).collect()
+    assert [r for r in rows if r["got"] != r["want"]] == []
+
+
+def test_text_shortcuts_do_not_change_results(spark):
+    texts = ["", " a", "a ", "a b c d e f", "a b  c d e ", " a b c d e f ", "café", "é́", "́", "x PROJECT Gutenberg", "Page 3 : x", "page x", "corrected to", "KTRANSCRIBER", "[4] x [12", "İHTML version", None]
+    c = F.col("x")
+    cases = {
+        "words": (T.at_least_words(c, 6), T.word_count(c) >= 6),
+        "one": (T.at_least_words(c, 1), T.word_count(c) >= 1),
+        "strip": (T.strip_space(c), F.regexp_replace(c, r"(?U)^\s+|\s+$", "")),
+        "markers": (T.strip_markers(c), F.regexp_replace(F.regexp_replace(c, fixed.FOOTNOTE_MARKER, ""), r"(?U)^\s+|\s+$", "")),
+        "editorial": (T.is_editorial(c), c.rlike(fixed.EDITORIAL)),
+        "fold": (T.fold_accents(c), F.regexp_replace(F.translate(c, T._ACCENTED, T._PLAIN), r"\p{M}+", "")),
+    }
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", *[e.alias(f"{n}{i}") for n, pair in cases.items() for i, e in enumerate(pair)]).collect()
+    assert [(r["x"], n) for r in rows for n in cases if r[f"{n}0"] != r[f"{n}1"]] == []
+
+
+def test_terms_of_a_sentence_that_repeats_a_name_take_linear_time(spark):
+    """So many words took minutes, as each one looked for the first word again, and the stack of the pattern."""
+    texts = [("La " * 60_000 + "Thor",), ("the " + "Thor Ahab " * 20_000 + "in 1492",)]
+    began = time.perf_counter()
+    got = [r[0] for r in spark.createDataFrame(texts, "x string").select(X.term_candidates("x")).collect()]
+    assert [len(x) for x in got] == [1, 2] and got[0][0].endswith("La Thor") and got[1][1] == "1492" and time.perf_counter() - began < 30
+
+
+def test_sentences_without_a_possible_term(spark, monkeypatch):
+    """MAYBE_TERM lets every sentence pass that has one."""
+    texts = ["Ahab spoke.", "Ahab--was late.", "Ahab' said", "ahab saw Rome", "A walk of 5 feet", "5 feet", "ÉParis x", "É Paris", "Ab\nCd", "\nCd x", "x-Ya", "The Cd", "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    some = X.term_candidates("x")
+    assert fixed.MAYBE_TERM
+    monkeypatch.setattr(fixed, "MAYBE_TERM", "")
+    rows = df.select("x", some.alias("some"), X.term_candidates("x").alias("all")).collect()
+    assert [r for r in rows if r["some"] != r["all"]] == [] and sum(len(r["all"] or []) for r in rows) == 6
+
+
+def test_sentences_are_numbered_from_counts_of_paragraphs(spark):
+    rows = spark.createDataFrame([(d, p, ["s"] * ((d + p) % 4)) for d in range(30) for p in range(5)], "doc_id int, para int, sents array<string>")
+    want = [(d, p, s) for d in range(30) for p in range(5) for s in range((d + p) % 4)]
+    got = segment.number_sentences(rows.repartition(7), ["doc_id", "para"]).select("doc_id", "para", "sent", "position").orderBy("position").collect()
+    assert [tuple(r) for r in got] == [(*w, i) for i, w in enumerate(want, 1)]
