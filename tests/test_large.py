@@ -102,3 +102,15 @@ def test_sentences_are_numbered_from_counts_of_paragraphs(spark):
     want = [(d, p, s) for d in range(30) for p in range(5) for s in range((d + p) % 4)]
     got = segment.number_sentences(rows.repartition(7), ["doc_id", "para"]).select("doc_id", "para", "sent", "position").orderBy("position").collect()
     assert [tuple(r) for r in got] == [(*w, i) for i, w in enumerate(want, 1)]
+
+
+#: Most passes over the texts of documents; book_meta also counts paragraphs and characters.
+PASSES = {"capped_top_facts": 1, "units": 1}
+
+
+@pytest.mark.parametrize("name", sorted(PASSES))
+def test_texts_are_split_once(spark, small, monkeypatch, name):
+    calls, split = [], segment.split_sentences
+    monkeypatch.setattr(segment, "split_sentences", lambda c: calls.append(1) or split(c))
+    plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert len(calls) + plan.count("documents.parquet") <= PASSES[name]
