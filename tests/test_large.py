@@ -105,7 +105,7 @@ def test_sentences_are_numbered_from_counts_of_paragraphs(spark):
 
 
 #: Most passes over the texts of documents; book_meta also counts paragraphs and characters.
-PASSES = {"capped_top_facts": 1, "units": 1}
+PASSES = {"capped_top_facts": 1, "units": 1, "train_views": 1}
 
 
 @pytest.mark.parametrize("name", sorted(PASSES))
