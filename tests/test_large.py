@@ -105,7 +105,7 @@ def test_sentences_are_numbered_from_counts_of_paragraphs(spark):
 
 
 #: Most passes over the texts of documents; book_meta also counts paragraphs and characters.
-PASSES = {"capped_top_facts": 1, "units": 1, "train_views": 1, "top_up": 1, "book_meta": 4, "fact_context": 1, "fact_score": 1, "key_term_choice": 1, "cloze_questions": 1, "leakage_antijoin": 1, "missing_sources": 1}
+PASSES = {"capped_top_facts": 1, "units": 1, "train_views": 1, "top_up": 1, "book_meta": 4, "fact_context": 1, "fact_score": 1, "key_term_choice": 1, "cloze_questions": 1, "leakage_antijoin": 1, "missing_sources": 1, "drop_reason_hist": 1}
 
 
 @pytest.mark.parametrize("name", sorted(PASSES))
