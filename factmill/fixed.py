@@ -17,8 +17,8 @@ DEFINITION = (
 )
 PROPER_NOUN = r"\b[A-Z][a-zA-Z'’\-]+(?:\s+(?:of\s+|de\s+|la\s+|von\s+|van\s+)?[A-Z][a-zA-Z'’\-]+)*"
 #: What a sentence with a candidate term has at least: a digit, a name after its first character, or a first word that is
-#: more than letters. A first name alone is none.
-MAYBE_TERM = r"(?s)\d|^[A-Z][a-zA-Z]*['’\-]|.\b[A-Z][a-zA-Z'’\-]"
+#: more than letters. A first name alone is none. Most characters fail the first class; what stands before is tried after it.
+MAYBE_TERM = r"[0-9A-Z](?:(?<=[0-9])|(?<=[\s\S]\b[A-Z])[a-zA-Z'’\-]|(?<=^[A-Z])[a-zA-Z]*['’\-])"
 NUMBER = r"\b\d{1,4}(?:[,.]\d{1,3})?\b"
 FOOTNOTE_MARKER = r"\s?\[\d{1,3}\]"
 FOOTNOTE_START = r"^\s*\[\d{1,3}\]"

@@ -20,7 +20,7 @@ def with_context(paragraphs: DataFrame, chapter: list[str], order: str = "para",
     first usable sentence that is neither definition nor fact. Rows without three different texts go."""
     w = Window.partitionBy(*chapter).orderBy(order)
     rows = paragraphs.withColumn("_before", F.lag(F.try_element_at(sents, F.lit(-1))).over(w)).withColumn("_after", F.lead(F.get(sents, F.lit(0))).over(w))
-    return _context(T.unnest(_judged(rows, sents), sents, "sent", "fact", [*rows.columns, "_usable", "_defines"]), sents)
+    return _context(T.unnest(_judged(rows, sents), sents, "sent", "fact", [*rows.columns, "_usable", "_defines"]).filter(T.is_good_fact("fact")), sents)
 
 
 def _judged(rows: DataFrame, sents: str) -> DataFrame:
@@ -30,8 +30,7 @@ def _judged(rows: DataFrame, sents: str) -> DataFrame:
 
 
 def _context(rows: DataFrame, sents: str) -> DataFrame:
-    """with_context() from sentences (sent, fact) with their paragraph's array, _usable, _defines, _before and _after."""
-    rows = rows.filter(T.is_good_fact("fact"))
+    """with_context() from good sentences (sent, fact) with their paragraph's array, _usable, _defines, _before and _after."""
     s, i, fact = F.col(sents), F.col("sent"), F.col("fact")
     pick = lambda test: F.get(F.filter(s, test), F.lit(0))
     usable = lambda j: F.get("_usable", j) & (j != i)
@@ -70,17 +69,26 @@ def example_terms(rows: DataFrame, freq: DataFrame, keys: list[str], example: st
     return rows.join(best.select(*keys, F.col("key_term").alias("example_key_term")), keys, "left")
 
 
-def named_paragraphs(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents") -> DataFrame:
-    """Paragraphs with a sentence that has a term: _named (place and terms of these sentences), _before and _after (the
-    sentences around the paragraph). Written once: texts are read and split for this table alone, and the frequencies and
-    the candidates come from it. Of other paragraphs only the first and the last sentence are moved."""
+def named_sentences(sents: T.ColumnLike) -> Column:
+    """Place and terms of the sentences of an array that have a term. As one value: from a filter on a column of terms
+    Catalyst would find the terms twice."""
+    sents = F.col(sents) if isinstance(sents, str) else sents
+    return F.filter(F.transform(sents, lambda s, i: F.struct(i.alias("sent"), X.term_candidates(s).alias("terms"))), lambda r: F.size(r["terms"]) > 0)
+
+
+def named_paragraphs(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents", others: bool = False) -> DataFrame:
+    """Paragraphs with a sentence that has a term: _named (place and terms of these sentences, and which of them are good
+    facts), _before and _after (the sentences around the paragraph). Written once: texts are read, split and judged for this
+    table alone, and the frequencies and the candidates come from it. Of other paragraphs only the first and the last
+    sentence are moved. With others, these are written too, without sentences, and n_sents counts the sentences of each."""
     keys = [*chapter, order]
-    named = F.filter(F.transform(sents, lambda s, i: F.struct(i.alias("sent"), X.term_candidates(s).alias("terms"))), lambda r: F.size(r["terms"]) > 0)
-    rows = paragraphs.withColumn("_named", named)
+    rows = paragraphs.withColumn("_named", F.transform(named_sentences(sents), lambda r: r.withField("good", T.is_good_fact(F.get(F.col(sents), r["sent"])))))
+    if others:
+        rows = rows.withColumn("n_sents", F.size(sents))
     rows = rows.withColumns({"_first": F.get(sents, F.lit(0)), "_last": F.try_element_at(sents, F.lit(-1)), sents: F.when(F.size("_named") > 0, F.col(sents))})
     w = Window.partitionBy(*chapter).orderBy(order)
     rows = rows.withColumn("_before", F.lag("_last").over(w)).withColumn("_after", F.lead("_first").over(w)).drop("_first", "_last")
-    return cut(rows.filter(F.size("_named") > 0).select(*keys, *[c for c in rows.columns if c not in keys]))
+    return cut((rows if others else rows.filter(F.size("_named") > 0)).select(*keys, *[c for c in rows.columns if c not in keys]))
 
 
 def named_frequency(named: DataFrame) -> DataFrame:
@@ -92,9 +100,10 @@ def named_candidates(named: DataFrame, freq: DataFrame, chapter: list[str], orde
     """candidates() from named_paragraphs() and frequencies."""
     keys = [*chapter, order, "sent"]
     keep = [c for c in named.columns if c != "_named"]
+    named = named.withColumn("_named", F.filter("_named", lambda r: r["good"])).filter(F.size("_named") > 0)
     rows = T.unnest(_judged(named, sents), "_named", "_m", "_of", [*keep, "_usable", "_defines"])
     rows = rows.withColumns({"sent": F.col("_of.sent"), "terms": F.col("_of.terms")}).withColumn("fact", F.get(sents, F.col("sent"))).drop("_m", "_of")
-    chosen = X.choose_key_term(rows.filter(T.is_good_fact("fact")), freq, keys)
+    chosen = X.choose_key_term(rows, freq, keys)
     rows = _context(rows.drop("terms"), sents).join(chosen, keys)
     return rows.withColumn("score", score("freq", "true_definition"))
 

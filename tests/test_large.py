@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factmill import fixed
 from factmill.functions import text as T
-from factmill.operators import segment
+from factmill.operators import facts, segment
 from factmill.operators import terms as X
 from factmill.plans import queries
 from factmill.session import running_sums
@@ -114,3 +114,28 @@ def test_texts_are_split_once(spark, small, monkeypatch, name):
     monkeypatch.setattr(segment, "split_sentences", lambda c: calls.append(1) or split(c))
     plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert len(calls) + plan.count("documents.parquet") <= PASSES[name]
+
+
+def test_good_facts_are_judged_with_the_terms(spark, small, monkeypatch):
+    """Candidates are made from good sentences only, and not from all with a judgment in each of their two branches."""
+    monkeypatch.setattr(facts, "cut", lambda df: df.localCheckpoint())
+    named = queries._named(spark, small)
+    of = named.selectExpr("inline(_named)", "sents").select("good", "terms", T.is_good_fact(F.get("sents", F.col("sent"))).alias("want")).collect()
+    assert {r["good"] for r in of} == {True, False} and [r for r in of if r["good"] != r["want"] or not r["terms"]] == []
+    monkeypatch.setattr(T, "is_good_fact", lambda c: pytest.fail("judged again"))
+    assert facts.named_candidates(named, facts.named_frequency(named), ["doc_id"]).count() > 0
+
+
+def test_what_may_have_a_term_is_as_before(spark):
+    parts = ["A", "b", "Z", "5", " ", "-", "’", "'", "\n", "é", "É", "\U0001d400", "\u0301", "_", "."]
+    texts = [(a + b + c + e,) for a in ["", *parts] for b in parts for c in parts for e in ["", *parts]]
+    old = r"(?s)\d|^[A-Z][a-zA-Z]*['’\-]|.\b[A-Z][a-zA-Z'’\-]"
+    df = spark.createDataFrame(texts, "x string")
+    assert df.filter(F.col("x").rlike(fixed.MAYBE_TERM) != F.col("x").rlike(old)).limit(5).collect() == []
+
+
+def test_stripped_texts_are_bound_once(spark):
+    """Each place that used the stripped text had a copy of the expression, and so had the places around it."""
+    df = spark.createDataFrame([(" a[1] ",), (None,), ("",), ("b [2]",)], "x string")
+    out = df.select(segment.split_sentences(T.strip_markers("x")).alias("s"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Contains(") <= 1 and [r["s"] for r in out.collect()] == [["a"], None, [], ["b"]]
