@@ -19,6 +19,14 @@ PROPER_NOUN = r"\b[A-Z][a-zA-Z'’\-]+(?:\s+(?:of\s+|de\s+|la\s+|von\s+|van\s+)?
 #: What a sentence with a candidate term has at least: a digit, a name after its first character, or a first word that is
 #: more than letters. A first name alone is none. Most characters fail the first class; what stands before is tried after it.
 MAYBE_TERM = r"[0-9A-Z](?:(?<=[0-9])|(?<=[\s\S]\b[A-Z])[a-zA-Z'’\-]|(?<=^[A-Z])[a-zA-Z]*['’\-])"
+_BREAK = r"""["”’')\]]{0,3}\s{1,2}"""
+#: What a text of any sentences and lines has at least if one of its sentences has MAYBE_TERM: a digit, a word with a capital
+#: and a sign of MAYBE_TERM, or one that begins neither a line nor a sentence. The dot of an abbreviation ends no sentence;
+#: after more closing signs and spaces than are tried here a word counts as one that begins none.
+MAYBE_TERMS = (
+    r"[0-9A-Z](?:(?<=[0-9])|(?<=\b[A-Z])(?:[a-zA-Z]*+['’\-]|(?<=[\s\S][A-Z])"
+    rf"(?:(?<![.!?]{_BREAK}[A-Z])(?<!\n[A-Z])|(?<=(?<=\b(?:{'|'.join(ABBREVIATIONS)}))\.{_BREAK}[A-Z]))[a-zA-Z]))"
+)
 NUMBER = r"\b\d{1,4}(?:[,.]\d{1,3})?\b"
 FOOTNOTE_MARKER = r"\s?\[\d{1,3}\]"
 FOOTNOTE_START = r"^\s*\[\d{1,3}\]"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factmill import fixed
 from factmill.functions import text as T
+from factmill.operators import segment
 from factmill.operators import terms as X
 from factmill.session import cut, number_rows
 
@@ -76,13 +77,17 @@ def named_sentences(sents: T.ColumnLike) -> Column:
     return F.filter(F.transform(sents, lambda s, i: F.struct(i.alias("sent"), X.term_candidates(s).alias("terms"))), lambda r: F.size(r["terms"]) > 0)
 
 
+def _named_and_good(sents: Column) -> Column:
+    return F.transform(named_sentences(sents), lambda r: r.withField("good", T.is_good_fact(F.get(sents, r["sent"]))))
+
+
 def named_paragraphs(paragraphs: DataFrame, chapter: list[str], order: str = "para", sents: str = "sents", others: bool = False) -> DataFrame:
     """Paragraphs with a sentence that has a term: _named (place and terms of these sentences, and which of them are good
     facts), _before and _after (the sentences around the paragraph). Written once: texts are read, split and judged for this
     table alone, and the frequencies and the candidates come from it. Of other paragraphs only the first and the last
     sentence are moved. With others, these are written too, without sentences, and n_sents counts the sentences of each."""
     keys = [*chapter, order]
-    rows = paragraphs.withColumn("_named", F.transform(named_sentences(sents), lambda r: r.withField("good", T.is_good_fact(F.get(F.col(sents), r["sent"])))))
+    rows = paragraphs.withColumn("_named", _named_and_good(F.col(sents)))
     if others:
         rows = rows.withColumn("n_sents", F.size(sents))
     rows = rows.withColumns({"_first": F.get(sents, F.lit(0)), "_last": F.try_element_at(sents, F.lit(-1)), sents: F.when(F.size("_named") > 0, F.col(sents))})
@@ -91,6 +96,30 @@ def named_paragraphs(paragraphs: DataFrame, chapter: list[str], order: str = "pa
     return cut((rows if others else rows.filter(F.size("_named") > 0)).select(*keys, *[c for c in rows.columns if c not in keys]))
 
 
+def named_documents(docs: DataFrame, keys: list[str], fold: bool = True, sents: str = "sents") -> DataFrame:
+    """named_paragraphs() of segment.document_paragraphs() with keys, which tell documents apart. A document's paragraphs are
+    in its row, so neighbours take no window and no shuffle. Most texts show by one pattern that no sentence has a term; of
+    the rest only the paragraphs that may have one, and those beside them, are split, each once."""
+    rows = docs.select(*keys, segment.kept_lines("text", fold, terms=True).alias("_kept"))
+    mark = lambda r: T.let(T.strip_markers(r["line"]), lambda s: F.struct(r["para"].alias("para"), s.alias("text"), X.may_have_terms(s).alias("maybe")))
+    rows = rows.select(*keys, F.transform("_kept", mark).alias("_kept"))
+    at = lambda i: F.get("_kept", i)
+    beside = lambda i: F.coalesce(at(i)["maybe"], F.lit(False))
+    rows = rows.select(*keys, "_kept", F.transform("_kept", lambda r, i: F.when(r["maybe"] | beside(i - 1) | beside(i + 1), segment.split_sentences(r["text"]))).alias("_split"))
+    of = lambda i: F.get("_split", i)
+    found = F.transform(
+        "_split",
+        lambda s, i: F.struct(
+            at(i)["para"].alias("para"),
+            F.when(at(i)["maybe"], _named_and_good(s)).alias("_named"),
+            s.alias(sents),
+            F.try_element_at(of(i - 1), F.lit(-1)).alias("_before"),
+            F.get(of(i + 1), F.lit(0)).alias("_after"),
+        ),
+    )
+    return cut(rows.select(*keys, F.inline_outer(F.filter(found, lambda r: F.size(r["_named"]) > 0))).filter("para is not null"))
+
+
 def named_frequency(named: DataFrame) -> DataFrame:
     """term_frequency() of all sentences, from named_paragraphs()."""
     return X.term_frequency(T.unnest(named, F.col("_named.terms"), "_m", "terms", []))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factmill import fixed
 from factmill.functions import text as T
+from factmill.operators import terms as X
 from factmill.session import cut, number_rows, running_sums
 
 #: Lines, or chapters, of a book that one task counts.
@@ -112,6 +113,20 @@ def number_sentences(paragraphs: DataFrame, order: list[str], name: str = "posit
     return number_rows(sizes, order, name, each=("_n", "sent"))[0]
 
 
+def text_lines(c: T.ColumnLike, fold: bool = True, terms: bool = False) -> Column:
+    """Array of the lines of a text. With terms, null for most texts none of whose sentences can have a term."""
+    c = F.col(c) if isinstance(c, str) else c
+    if not terms:
+        return F.transform(F.split(c, "\n"), T.fold_accents) if fold else F.split(c, "\n")
+    return T.let(T.fold_accents(c) if fold else c, lambda x: F.when(X.may_have_terms(x), F.split(x, "\n")))
+
+
+def kept_lines(c: T.ColumnLike, fold: bool = True, terms: bool = False) -> Column:
+    """Array of the paragraphs (para, the line number, and line) of text_lines() that keeps_paragraph() keeps."""
+    rows = F.transform(text_lines(c, fold, terms), lambda x, i: F.struct(i.alias("para"), x.alias("line")))
+    return F.filter(rows, lambda r: (r["line"] != "") & keeps_paragraph(r["line"]))
+
+
 def document_paragraphs(docs: DataFrame, fold: bool = True) -> DataFrame:
     """Documents as chapters of the book of their language: doc_id, lang, para (line number), line and sents."""
     texts = F.split("text", "\n")

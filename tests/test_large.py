@@ -163,3 +163,53 @@ def test_candidates_that_are_used_twice_are_written(spark, small, monkeypatch, n
     monkeypatch.setattr(facts, "select_units", lambda df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or select(df, *a, **k))
     queries.QUERIES[name](spark, small)
     assert plans and not [p for p in plans if "known as" in p]
+
+
+def test_what_may_have_terms_has_all_sentences_that_may(spark):
+    """Lines are stripped of markers and split; where one of their sentences may have a term, the text may too."""
+    parts = ["A", "bc", "Z", "5", " ", "-", "’", ")", '"', "\n", "é", "\u0301", "\u00a0", ".", "! ", ". Ab", "Mr.", "etc.", "[12]", "\r"]
+    texts = [(a + b + c + e,) for a in ["", "x. ", *parts] for b in parts for c in parts for e in ["", *parts]]
+    df = spark.createDataFrame(texts, "x string").repartition(8)
+    lines = F.transform(F.split("x", "\n"), lambda y: segment.split_sentences(T.strip_markers(y)))
+    some = F.exists(lines, lambda y: F.exists(y, lambda s: s.rlike(fixed.MAYBE_TERM)))
+    rows = df.select("x", some.alias("some"), X.may_have_terms("x").alias("may"), T.let(T.strip_markers("x"), X.may_have_terms).alias("line"))
+    assert rows.filter("some and not may or some and not line and not contains(x, '\n')").limit(5).collect() == []
+    got = {r["may"] for r in spark.createDataFrame([("He went.\nShe came. \"So it is.",), ("He went. Mr. Ab came.",)], "x string").select(X.may_have_terms("x").alias("may")).collect()}
+    assert rows.filter("some").count() > 1000 and got == {True} and not spark.createDataFrame([("He went.\nShe came.)  So it is! A b.",)], "x string").select(X.may_have_terms("x")).first()[0]
+
+
+def test_a_long_word_of_capitals_takes_linear_time(spark):
+    texts = [("A" * 300_000,), ("\nAb" * 100_000,), (". Ab" * 100_000,)]
+    began = time.perf_counter()
+    spark.createDataFrame(texts, "x string").select(X.may_have_terms("x")).collect()
+    assert time.perf_counter() - began < 30
+
+
+def _odd_documents(spark):
+    plain = "it has six small words here. So it goes on and on."
+    name = "They met old Bartholomew Longfellow near the river Arno in 1492. It was a town that has many small houses. All went home."
+    texts = [None, "", plain, name, f"{plain}\n{name}\n{plain}", f"{name}\n\nshort\n{plain}\nToo short\n{name} Été à Pisa.", f"{plain}\n{plain}\n{name}\n{name}", " \n" + name + "  ", f"{plain}\nMr. Ahab is of the old town there. {plain}", "[4] See Smith.\n" + name + "[12]\n" + plain]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def test_named_documents_are_named_paragraphs(spark, small, monkeypatch):
+    monkeypatch.setattr(facts, "cut", lambda df: df.localCheckpoint())
+    for docs in (_odd_documents(spark), queries.docs(spark, small).select("doc_id", "text")):
+        want = facts.named_paragraphs(segment.document_paragraphs(docs.withColumn("lang", F.lit("en"))).drop("line", "lang"), ["doc_id"])
+        got = facts.named_documents(docs, ["doc_id"]).select(*want.columns)
+        rows = [sorted(map(repr, df.collect())) for df in (got, want)]
+        assert rows[0] == rows[1] and len(rows[0]) > 4
+
+
+@pytest.mark.parametrize("name", ["fact_score", "cloze_questions", "leakage_antijoin", "missing_sources"])
+def test_paragraphs_far_from_terms_are_not_split(spark, tmp_path, monkeypatch, name):
+    """Every paragraph was split and searched, and all of them were shuffled for their neighbours."""
+    split, plans, cut = segment.split_sentences, [], facts.cut
+    far = "it is unsplit and has no name in it. So it goes on."
+    rows = [(r["doc_id"], r["text"] if r["text"] is None else f"{far}\nit stands between and has no name here.\n{r['text']}\nit stands between and has no name here.\n{far}", "en") for r in _odd_documents(spark).collect()]
+    spark.createDataFrame([*rows, (99, far, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(segment, "split_sentences", lambda c: F.when(c.contains("unsplit"), F.split(F.raise_error(F.lit("split")).cast("string"), "x")).otherwise(split(c)))
+    monkeypatch.setattr(facts, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert "_named" in plans[0] and "Window" not in plans[0] and plans[0].count("ducats") == plans[0].count("known as") + 1 == 1
